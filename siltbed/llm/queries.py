@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltbed.llm import quality_rules, source_mixing
 from siltbed.llm.mpeg_audio import op7_mpeg_audio
 from siltbed.llm.packing import op10_packing
 from siltbed.llm.token_counts import op5_token_counts
@@ -14,12 +15,14 @@ from siltbed.llm.wavelet_matrix import op8_wavelet_matrix
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_source_mixing": source_mixing.op2_source_mixing,
         "op5_token_counts": op5_token_counts,
         "op7_mpeg_audio": op7_mpeg_audio,
         "op8_wavelet_matrix": op8_wavelet_matrix,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_source_mixing": source_mixing.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
