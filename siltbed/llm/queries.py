@@ -11,6 +11,7 @@ from siltbed.llm.language_id import op6_language_id
 from siltbed.llm.mpeg_audio import op7_mpeg_audio
 from siltbed.llm.packing import op10_packing
 from siltbed.llm.quality_classifier import op3_quality_classifier
+from siltbed.llm.suffix_tree_lm import op4_suffix_tree_lm
 from siltbed.llm.token_counts import op5_token_counts
 from siltbed.llm.wavelet_matrix import op8_wavelet_matrix
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mixing": source_mixing.op2_source_mixing,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_suffix_tree_lm": op4_suffix_tree_lm,
         "op5_token_counts": op5_token_counts,
         "op6_language_id": op6_language_id,
         "op7_mpeg_audio": op7_mpeg_audio,

@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks whose ids one Python worker keeps, and half as many words in each of two generations.
-MOST_PIECES = 700_000
+MOST_PIECES = 500_000
 #: Characters of text that are encoded at once.
-SLICE = 32_000_000
+SLICE = 24_000_000
 
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"[.,;:!?*#$%&|()\-]"
 #: Letters, then punctuation; each run is one pre-token. No apostrophe, digit, angle bracket or underscore.
