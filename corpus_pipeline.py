@@ -1,18 +1,71 @@
-"""From raw documents to packed sequences, stage by stage."""
+"""From raw documents to packed sequences: classify, apply rules, drop near copies, mix sources, pack.
+
+Each stage works on all that the one before kept and returns the columns of documents, the last the pieces of sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltbed.llm import minhash_dedup, packing, quality_classifier, quality_rules, source_mixing
+from siltbed.llm.common import written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for good, learned from the labels outside its held-out fold."""
+    model = quality_classifier.fit(docs, _labels(spark, sf_dir), ~quality_classifier.fold(F.col("doc_id")))
+    return quality_classifier.with_quality(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the cutoffs fitted on the labels of what came in."""
+    ratios = [f"r_{rule}" for rule in quality_rules.GRID]
+    stats = written(quality_rules.with_stats(docs.select(*COLUMNS)).select(*COLUMNS, "base_failed", *ratios), "stats")
+    cutoffs = quality_rules.fit_cutoffs(stats.select("doc_id", "lang", "base_failed", *ratios), _labels(spark, sf_dir))
+    return quality_rules.with_verdict(stats, cutoffs).where("kept").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    gone = minhash_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as its source's target takes."""
+    _, cuts = source_mixing.fit(docs)
+    out = source_mixing.with_copies(docs.select(*COLUMNS), cuts, source_mixing.uniform_of(F.col("doc_id"), F.col("text")))
+    return out.where("n_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all sequences, their ids digested."""
+    return packing.digested(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", apply_rules),
+    ("minhash near-dedup", drop_near_copies),
+    ("source mixing", mix),
+    ("packing", pack),
+]
 
 #: Trained models and tokenizers are beyond SQL; tests hold the stages against their operators instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents."""
+    """All stages over the whole table of documents, each written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltbed.llm import quality_rules, source_mixing
+from siltbed.llm import minhash_dedup, quality_rules, source_mixing
 from siltbed.llm.language_id import op6_language_id
 from siltbed.llm.mpeg_audio import op7_mpeg_audio
 from siltbed.llm.packing import op10_packing
@@ -18,6 +18,7 @@ from siltbed.llm.wavelet_matrix import op8_wavelet_matrix
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
         "op2_source_mixing": source_mixing.op2_source_mixing,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_suffix_tree_lm": op4_suffix_tree_lm,
@@ -31,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": source_mixing.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
+    return {"op1_minhash_dedup": minhash_dedup.ORACLE, "op2_source_mixing": source_mixing.ORACLE, "op9_quality_rules": quality_rules.ORACLE}

@@ -26,9 +26,9 @@ SLICE = 24_000_000
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"[.,;:!?*#$%&|()\-]"
 #: Letters, then punctuation; each run is one pre-token. No apostrophe, digit, angle bracket or underscore.
 _DROPPED = re.compile(rf"([{_LETTERS}]+)({_MARKS}*)\Z")
-_KEPT = re.compile(rf"( ?[{_LETTERS}]+)({_MARKS}*)(?:(\n)([{_LETTERS}]+)({_MARKS}*))?\Z")
-#: A text is cut only before a blank that one of these follows; else what stands at the blanks depends on more.
-_ODD = r" ([^!-~À-ÖØ-öø-ÿ]|$)"
+_KEPT = re.compile(rf"(\n?)( ?[{_LETTERS}]+)({_MARKS}*)\Z")
+#: A text is cut only before a blank or line feed that one of these follows; else what stands there depends on more.
+_ODD = r"[ \n]([^!-~À-ÖØ-öø-ÿ]|$)"
 
 
 class ChunkEncoder:
@@ -99,7 +99,7 @@ class ChunkEncoder:
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.keeps_blanks:
             odd = pc.match_substring_regex(texts, _ODD)
-            cut = pc.split_pattern(texts, " ")
+            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
             if pc.any(odd).as_py():
                 cut = pa.array([[x] if o else y for x, y, o in zip(texts.to_pylist(), cut.to_pylist(), odd.to_pylist(), strict=True)], pa.list_(pa.string()))
         else:
@@ -107,8 +107,8 @@ class ChunkEncoder:
         at = cut.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
         pieces = cut.flatten()
-        if self.keeps_blanks and len(pieces):  # all but the first chunk of a text have a blank before them
-            first = np.zeros(len(pieces), bool)
+        if self.keeps_blanks and len(pieces):  # chunks have a blank before them but for a text's first and those that begin a line
+            first = pc.starts_with(pieces, "\n").to_numpy(zero_copy_only=False).copy()
             first[at[:-1][at[:-1] < at[1:]]] = True
             pieces = pc.binary_join_element_wise(pc.if_else(pa.array(first), "", " "), pieces, "")
         found = pieces.dictionary_encode()

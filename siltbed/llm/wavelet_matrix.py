@@ -1,6 +1,6 @@
 """Token ids as wavelet matrices: one compressed file per shard.
 
-A file holds the ids of consecutive documents as bit-planes, highest bit first; each plane lists its bits after all ids
+A file numbers the ids that occur in it and holds these numbers as bit-planes, highest bit first; each plane lists its bits after all ids
 with a 0 in the plane above were moved, in order, before those with a 1. Planes are cut into blocks that are compressed
 alone, with the count of ones before each block stored beside them, so that rank, select, access, counts and occurrence
 lookups read only the blocks they touch. Decoding all ids undoes the moves from the lowest plane up.
@@ -36,8 +36,10 @@ def build(ids: np.ndarray, ends: np.ndarray, doc_ids: list[int | None]) -> bytes
     """The file of these ids; ends has where each document ends."""
     pack = zstandard.ZstdCompressor(level=1).compress
     n = len(ids)
-    planes = max(1, int(ids.max()).bit_length()) if n else 1
-    level = ids.astype(np.uint16 if planes <= 16 else np.uint32)
+    used = np.flatnonzero(np.bincount(ids)) if n else np.zeros(0, np.int64)
+    place = np.zeros(int(used[-1]) + 1 if n else 0, np.uint16 if len(used) <= 1 << 16 else np.uint32)
+    place[used] = np.arange(len(used))
+    planes, level = max(1, (len(used) - 1).bit_length()), place[ids]
     head, blocks = [], []
     for plane in range(planes - 1, -1, -1):
         bits = (level >> level.dtype.type(plane) & level.dtype.type(1)).astype(bool)
@@ -49,9 +51,9 @@ def build(ids: np.ndarray, ends: np.ndarray, doc_ids: list[int | None]) -> bytes
             ones.append(ones[-1] + int(np.count_nonzero(bits[lo : lo + BLOCK])))
         head.append(np.array(ones, "<u4").tobytes() + np.array([len(blocks[i]) for i in lengths], "<u4").tobytes())
         level = np.concatenate([level[~bits], level[bits]])
-    meta = pack(np.asarray(ends, "<i8").tobytes()) , pack(np.array([x or 0 for x in doc_ids], "<i8").tobytes()), pack(np.array([x is None for x in doc_ids], np.uint8).tobytes())
+    meta = pack(used.astype("<u4").tobytes()), pack(np.asarray(ends, "<i8").tobytes()), pack(np.array([x or 0 for x in doc_ids], "<i8").tobytes()), pack(np.array([x is None for x in doc_ids], np.uint8).tobytes())
     index = pack(b"".join(head))
-    return MAGIC + struct.pack("<QQBIIII", n, len(doc_ids), planes, *map(len, (*meta, index))) + b"".join((*meta, index, *blocks))
+    return MAGIC + struct.pack("<QQBIIIII", n, len(doc_ids), planes, *map(len, (*meta, index))) + b"".join((*meta, index, *blocks))
 
 
 class WaveletMatrix:
@@ -60,17 +62,18 @@ class WaveletMatrix:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        self.n, docs, self.planes, *sizes = struct.unpack_from("<QQBIIII", data, 8)
-        at = 8 + struct.calcsize("<QQBIIII")
+        self.n, docs, self.planes, *sizes = struct.unpack_from("<QQBIIIII", data, 8)
+        at = 8 + struct.calcsize("<QQBIIIII")
         parts = []
         for size in sizes:
             parts.append(zstandard.ZstdDecompressor().decompress(data[at : at + size]))
             at += size
-        self.ends = np.frombuffer(parts[0], "<i8")
-        null = np.frombuffer(parts[2], np.uint8)
-        self.doc_ids = [None if x else d for d, x in zip(np.frombuffer(parts[1], "<i8").tolist(), null.tolist(), strict=True)]
+        self.used = np.frombuffer(parts[0], "<u4")
+        self.ends = np.frombuffer(parts[1], "<i8")
+        null = np.frombuffer(parts[3], np.uint8)
+        self.doc_ids = [None if x else d for d, x in zip(np.frombuffer(parts[2], "<i8").tolist(), null.tolist(), strict=True)]
         count = -(-self.n // BLOCK)
-        index = np.frombuffer(parts[3], "<u4").reshape(self.planes, 2 * count + 1).astype(np.int64)
+        index = np.frombuffer(parts[4], "<u4").reshape(self.planes, 2 * count + 1).astype(np.int64)
         self.ones, lengths = index[:, : count + 1], index[:, count + 1 :].ravel()
         self.at = (at + np.cumsum(lengths) - lengths).reshape(self.planes, count)
         self.size = lengths.reshape(self.planes, count)
@@ -107,10 +110,15 @@ class WaveletMatrix:
             bit = int(self._block(p, i // BLOCK)[i % BLOCK])
             out = out << 1 | bit
             i = int(self.zeros[p]) + self._rank1(p, i) if bit else i - self._rank1(p, i)
-        return out
+        return int(self.used[out])
 
-    def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
-        if token < 0 or token >> self.planes:
+    def _place(self, token: int) -> int | None:
+        """The token's place among the ids that occur."""
+        k = int(np.searchsorted(self.used, token))
+        return k if k < len(self.used) and self.used[k] == token else None
+
+    def _range(self, token: int | None, lo: int, hi: int) -> tuple[int, int]:
+        if token is None:
             return 0, 0
         for p in range(self.planes):
             a, b = self._rank1(p, lo), self._rank1(p, hi)
@@ -119,11 +127,12 @@ class WaveletMatrix:
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """How often token occurs at positions lo to hi."""
-        a, b = self._range(token, lo, self.n if hi is None else hi)
+        a, b = self._range(self._place(token), lo, self.n if hi is None else hi)
         return b - a
 
     def select(self, token: int, k: int) -> int:
         """The position of the k-th occurrence (from 0)."""
+        token = self._place(token)
         lo, hi = self._range(token, 0, self.n)
         if not 0 <= k < hi - lo:
             raise IndexError(k)
@@ -149,7 +158,7 @@ class WaveletMatrix:
             out[~bits] = level[: self.zeros[p]]
             out[bits] = level[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
             level = out
-        return level.astype("<u4")
+        return self.used[level].astype("<u4")
 
 
 SHARDS = "part int, seq int, n_docs bigint, n_tokens bigint, file binary"
