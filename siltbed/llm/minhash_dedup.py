@@ -67,7 +67,8 @@ def posted(classes: DataFrame) -> DataFrame:
     """rep, n, sig and posts (c, key, pivot: size, pair and smallest member of a posting) of each class that may have a partner."""
     value = F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)
     tokens = classes.select("rep", "n", F.posexplode("sig").alias("j", "v")).select("rep", "n", (F.shiftleft(F.col("j").cast("long"), 32) + value).alias("key"))
-    shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "n")).alias("pivot")).where("c > 1")
+    # Written, so that the join below it may split a common value's rows among tasks.
+    shared = written(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "n")).alias("pivot")).where("c > 1"), "shared")
     posts = tokens.join(shared, "key").groupBy("rep").agg(F.collect_set(F.struct("c", "key", "pivot")).alias("posts")).where(F.size("posts") >= MATCHES)
     posts = posts.withColumn("posts", F.slice(F.sort_array("posts"), F.lit(1), F.size("posts") - (MATCHES - 1)))
     return classes.select("rep", "n", "sig").join(posts, "rep")
@@ -109,7 +110,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a, b = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     rows = pairs.join(b, "b").join(a, "a").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
-    return rows.where(100 * F.col("both") >= SIMILAR * (F.col("sum") - F.col("both"))).select("a", "b").distinct()
+    return rows.where(100 * F.col("both") >= SIMILAR * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
 def _sizes_fit(m, n):
@@ -132,7 +133,7 @@ def rest_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
     members = own.select("rep", "n", "comp", "sig", mask.alias("mask"), F.explode(F.transform("posts", lambda p: p["key"])).alias("key"))
     by = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("every"), F.max(F.struct("c", "comp")).alias("most")).where(F.col("every") > F.col("most.c"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    by = by.select("key", F.col("most.comp").alias("main"), blocks(F.col("every")).alias("wide"), blocks(F.col("every") - F.col("most.c")).alias("high"))
+    by = written(by.select("key", F.col("most.comp").alias("main"), blocks(F.col("every")).alias("wide"), blocks(F.col("every") - F.col("most.c")).alias("high")), "mixed")
     rows = members.join(by, "key").withColumn("outside", F.col("comp") != F.col("main")).withColumn("h", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
     left = rows.where("outside").select("*", (F.col("h") % F.col("high")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), F.lit(True).alias("asks"))
     right = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), (F.col("h") % F.col("wide")).cast("int").alias("j"), F.lit(False).alias("asks"))
@@ -174,7 +175,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     lifted = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     second = components(lifted).select(F.col("node").alias("low"), F.col("component").alias("lowest"))
     nodes = posts.select("rep").join(first, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("low"))
-    nodes = nodes.join(second, "low", "left").select(F.col("rep").alias("r"), F.coalesce("lowest", "low").alias("lowest")).distinct()
+    nodes = written(nodes.join(second, "low", "left").select(F.col("rep").alias("r"), F.coalesce("lowest", "low").alias("lowest")).distinct(), "nodes")
     out = rows.join(classes.select("digest", "rep"), "digest", "left").join(nodes, F.col("rep") == F.col("r"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
