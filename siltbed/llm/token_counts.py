@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import documents, free_name, scratch_path
+from siltbed.llm.common import documents, free_name, scratch_path, written
 
 CACHE = "digest binary, tokenizer string, n_tokens bigint"
 LIMIT = 2048
@@ -81,7 +81,8 @@ def with_token_counts(docs: DataFrame, path: str, cache_path: str, text: str = "
     """docs without its text column, with the count of the whole text's tokens."""
     count_misses(docs, path, cache_path, text)
     key, got = free_name(docs, "digest"), free_name(docs, to if to not in docs.columns else "counted")
-    stored = read_cache(docs.sparkSession, cache_path, tokenizer_version(path)).select(F.col("digest").alias(key), F.col("n_tokens").alias(got))
+    # Written, so that the join may split the rows of a text that many documents share among tasks.
+    stored = written(read_cache(docs.sparkSession, cache_path, tokenizer_version(path)), "counts").select(F.col("digest").alias(key), F.col("n_tokens").alias(got))
     return docs.withColumn(key, content_digest(docs[text])).drop(text).join(stored, key, "left").drop(key).withColumnRenamed(got, to)
 
 
