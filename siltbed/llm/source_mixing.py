@@ -27,6 +27,7 @@ from siltbed.llm.common import WORD, documents, written
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 STEPS = 1 << 16
+SPREAD = 64
 SEED = "mix-1:"
 
 
@@ -67,10 +68,17 @@ def rank_of(u: Column, f: Column) -> Column:
     return q / (1 + q)
 
 
+def with_source(rows: DataFrame, table: DataFrame, source: str, u: str) -> DataFrame:
+    """rows with their source's row of a table, whose own key column is named _source. Each source is spread over SPREAD keys by a row's random number, so that no task gets all rows of one."""
+    table = table.withColumn("_key", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    rows = rows.withColumn("_part", F.least(F.floor(F.col(u) * SPREAD), F.lit(SPREAD - 1)).cast("int"))
+    return rows.join(table, rows[source].eqNullSafe(table["_source"]) & (rows["_part"] == table["_key"])).drop("_source", "_key", "_part")
+
+
 def fit_cuts(rows: DataFrame, by: DataFrame) -> DataFrame:
     """by with cut (the highest rank that is taken) and closer (the closing document's rank). rows: source, size, u."""
-    plan = by.select(F.col("source").alias("s"), "f", "left", "copies")
-    ranked = rows.join(plan, rows["source"].eqNullSafe(plan["s"])).withColumn("rank", rank_of(F.col("u"), F.col("f")))
+    plan = by.select(F.col("source").alias("_source"), "f", "left")
+    ranked = with_source(rows, plan, "source", "u").withColumn("rank", rank_of(F.col("u"), F.col("f")))
     blocks = ranked.groupBy("source", "rank").agg(F.sum("size").alias("size"), F.first("left").alias("left"))
     blocks = blocks.withColumn("step", F.floor(F.col("rank") * STEPS).cast("int"))
     steps = blocks.groupBy("source", "step").agg(F.sum("size").alias("size"), F.max("rank").alias("top"), F.first("left").alias("left"))
@@ -84,8 +92,7 @@ def fit_cuts(rows: DataFrame, by: DataFrame) -> DataFrame:
     # A source whose very first blocks do not fit has no row in either.
     found = whole.unionByName(inner).groupBy(F.col("source").alias("c")).agg(F.max("cut").alias("cut"), F.max("sum").alias("sum"))
     cuts = by.join(found, by["source"].eqNullSafe(found["c"]), "left").drop("c").withColumn("cut", F.coalesce("cut", F.lit(-1.0))).withColumn("gap", F.col("left") - F.coalesce("sum", F.lit(0)))
-    k = cuts.select(F.col("source").alias("k"), "cut", "gap")
-    rest = blocks.join(k, blocks["source"].eqNullSafe(k["k"])).where((F.col("rank") > F.col("cut")) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
+    rest = with_source(blocks, cuts.select(F.col("source").alias("_source"), "cut", "gap"), "source", "rank").where((F.col("rank") > F.col("cut")) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
     close = rest.groupBy(F.col("source").alias("z")).agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank"))["rank"].alias("closer"))
     return cuts.join(close, cuts["source"].eqNullSafe(close["z"]), "left").drop("z", "sum", "gap", "left")
 
@@ -93,10 +100,10 @@ def fit_cuts(rows: DataFrame, by: DataFrame) -> DataFrame:
 def with_copies(docs: DataFrame, cuts: DataFrame, u: Column, source: str = "source") -> DataFrame:
     """docs with n_copies, the whole copies that the mix takes, and their source's size and target."""
     cuts = cuts.withColumnRenamed("source", "_source").withColumnsRenamed({c: f"_{c}" for c in ("copies", "f", "cut", "closer", "source_size", "target")})
-    out = docs.withColumn("_u", u).join(cuts, docs[source].eqNullSafe(F.col("_source")))
+    out = with_source(docs.withColumn("_u", u), cuts, source, "_u")
     rank = rank_of(F.col("_u"), F.col("_f"))
     more = (rank <= F.col("_cut")) | F.coalesce(rank == F.col("_closer"), F.lit(False))
-    return out.withColumn("n_copies", F.col("_copies") + F.when(F.col("_f") > 0, more.cast("long")).otherwise(0)).drop("_u", "_source", "_copies", "_f", "_cut", "_closer")
+    return out.withColumn("n_copies", F.col("_copies") + F.when(F.col("_f") > 0, more.cast("long")).otherwise(0)).drop("_u", "_copies", "_f", "_cut", "_closer")
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
