@@ -11,7 +11,8 @@ driver is one vector per language.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and when nothing could be learned; null
 languages and held-out rows teach nothing; ties go to the first language by name; repeated rows teach as often as they
-occur; other columns pass through untouched.
+occur; other columns pass through untouched, but for columns of the
+result's names, which are replaced.
 """
 
 from __future__ import annotations
@@ -135,7 +136,7 @@ def fit_prototypes(rows: DataFrame) -> tuple[list[str], np.ndarray]:
 def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns to keep (all by default), with lang_pred and score, the cosine to the prototype as a number from 0 to 1."""
     langs, prototypes = model
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     name, prototypes = text, prototypes.astype(np.float64)
 

@@ -9,7 +9,8 @@ resynchronisation: a header counts only if another header (or the end, or a tag)
 chance sync patterns inside the data are passed over. Durations are exact (samples and rate, never a float).
 
 Defined results: null media and media without any frame give 0 frames, 0 samples, an empty payload and no offsets; a
-truncated last frame is not counted; repeated rows each get their own row; other columns pass through untouched.
+truncated last frame is not counted; repeated rows each get their own row; other columns pass through untouched,
+but for columns of the result's names, which are replaced.
 """
 
 from __future__ import annotations
@@ -220,6 +221,7 @@ PARSED = T.StructType([
 
 def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """docs with a binary column that holds each whole text (null: empty) as an MPEG audio file."""
+    docs = docs.drop(media)
     schema = T.StructType([*docs.schema.fields, T.StructField(media, T.BinaryType())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +234,7 @@ def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
 
 def with_parsed(df: DataFrame, media: str = "media", to: str = "audio") -> DataFrame:
     """df with its media column replaced by a struct of everything that parse_stream() reports."""
-    keep = [f for f in df.schema.fields if f.name != media]
+    keep = [f for f in df.schema.fields if f.name not in (media, to)]
     schema = T.StructType([*keep, T.StructField(to, PARSED)])
     names = [f.name for f in keep]
 

@@ -11,7 +11,8 @@ the input. Scoring reads each whole text once and shuffles nothing.
 
 Defined results: null and empty texts have no words and get the network's score of an empty document; without labels of
 both kinds every document gets the share of good labels, or 1 without any label; a document labelled twice counts as
-bad if any label says so; rows with a null doc_id are scored but teach nothing; other columns pass through untouched.
+bad if any label says so; rows with a null doc_id are scored but teach nothing; other columns pass through
+untouched, but for columns of the result's names, which are replaced.
 """
 
 from __future__ import annotations
@@ -180,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
 
 def with_quality(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns to keep (all by default), with score and predicted."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     name = text
 

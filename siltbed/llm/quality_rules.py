@@ -46,6 +46,7 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the counts of its text as columns, base_failed, and the ratios that cutoffs hold for as r_*.
 
     Windows are compared as whole strings; only texts that hold a window twice are sorted to mark all its places.
+    Write the result before filtering by these columns: a filter pushed below them would split a text anew per window.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("_words", F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda x: x != ""))
