@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks whose ids one Python worker keeps, and half as many words in each of two generations.
-MOST_PIECES = 500_000
+MOST_PIECES = 400_000
 #: Characters of text that are encoded at once.
-SLICE = 24_000_000
+SLICE = 10_000_000
 
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"[.,;:!?*#$%&|()\-]"
 #: Letters, then punctuation; each run is one pre-token. No apostrophe, digit, angle bracket or underscore.
@@ -146,6 +146,7 @@ class ChunkEncoder:
             ids, ends = self._slice(part)
             done.append((ids, ends + base))
             base += len(ids)
+            pa.default_memory_pool().release_unused()
         if collecting:
             gc.enable()
         return np.concatenate([x[0] for x in done]), np.concatenate([x[1] for x in done])

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 4_000_000
+SLICE = 1_000_000
 SPACE, END = 0x20, 0x0A
 
 _BASE = 0x9E3779B97F4A7C15 | 1
