@@ -106,7 +106,8 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang") -> D
     each = Window.partitionBy("stratum", "rule")
     rows = rows.withColumn("allowed", F.min(F.col("passed").cast("int")).over(each.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) == 1)
     gain = F.col("bad") - PRICE * F.col("good")
-    return rows.where("allowed").where(gain > 0).groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(gain, -F.col("i"))).alias("cutoff"))
+    # Written, so that its size is known where documents are joined to it, and their texts need not move.
+    return written(rows.where("allowed").where(gain > 0).groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(gain, -F.col("i"))).alias("cutoff")), "cutoffs")
 
 
 def with_verdict(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
