@@ -8,7 +8,7 @@ the lowest ranks are taken while they fit what is left. One closing document of
 nearest to the gap that remains, is added if that brings the source nearer to its target.
 
 u comes from a hash of the document's id and text, so reruns agree on any partitioning. The cut between taken and left
-is found without sorting a source: sizes are summed in 2^16 steps of rank, running sums over the steps find the one
+is found without sorting a source: sizes are summed in 2^12 steps of rank, running sums over the steps find the one
 step that holds the cut, and only its documents are ordered. A decision depends on a document's own values and on its
 source's row in a small table of cuts, so texts never move.
 
@@ -26,7 +26,7 @@ from siltbed.llm.common import WORD, documents, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
-STEPS = 1 << 16
+STEPS = 1 << 12
 SPREAD = 64
 SEED = "mix-1:"
 
