@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks whose ids one Python worker keeps, and half as many words in each of two generations.
+#: Chunks whose ids one Python worker keeps, the less used half forgotten beyond that; and half as many words in each of two generations.
 MOST_PIECES = 400_000
 #: Characters of text that are encoded at once.
 SLICE = 10_000_000
@@ -125,16 +125,23 @@ class ChunkEncoder:
         place = place.astype(np.int64)
         self.known = pa.concat_arrays([self.known, fresh])
         index = place[found.indices.to_numpy()]
+        self.used = np.append(self.used, np.zeros(len(fresh), np.int64)) + np.bincount(index, minlength=len(self.known))
         each = self.sizes[index]
         ends = np.cumsum(each)
         out = self.pool[np.repeat(self.starts[index] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
         if len(self.known) > self.most:
-            self._forget()
+            self._keep(np.sort(np.argpartition(-self.used, self.most // 2)[: self.most // 2]))
         return out, np.append(0, ends)[at[1:]]
 
     def _forget(self) -> None:
         self.known, self.pool = pa.array([], pa.string()), np.zeros(0, "<u4")
-        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.starts = self.sizes = self.used = np.zeros(0, np.int64)
+
+    def _keep(self, kept: np.ndarray) -> None:
+        """Forgets all chunks but these."""
+        n, ends = self.sizes[kept], np.cumsum(self.sizes[kept])
+        self.pool = self.pool[np.repeat(self.starts[kept] - (ends - n), n) + np.arange(ends[-1])]
+        self.known, self.starts, self.sizes, self.used = self.known.take(pa.array(kept)), ends - n, n, self.used[kept] // 2
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.string()), "")
