@@ -50,7 +50,7 @@ def build(ids: np.ndarray, ends: np.ndarray, doc_ids: list[int | None]) -> bytes
             blocks.append(pack(raw[lo // 8 : (lo + BLOCK) // 8].tobytes()))
             ones.append(ones[-1] + int(np.count_nonzero(bits[lo : lo + BLOCK])))
         head.append(np.array(ones, "<u4").tobytes() + np.array([len(blocks[i]) for i in lengths], "<u4").tobytes())
-        level = np.concatenate([level[~bits], level[bits]])
+        level = np.concatenate([level.take(np.flatnonzero(~bits)), level.take(np.flatnonzero(bits))])  # faster than masks
     meta = pack(used.astype("<u4").tobytes()), pack(np.asarray(ends, "<i8").tobytes()), pack(np.array([x or 0 for x in doc_ids], "<i8").tobytes()), pack(np.array([x is None for x in doc_ids], np.uint8).tobytes())
     index = pack(b"".join(head))
     return MAGIC + struct.pack("<QQBIIIII", n, len(doc_ids), planes, *map(len, (*meta, index))) + b"".join((*meta, index, *blocks))
@@ -155,8 +155,8 @@ class WaveletMatrix:
             raw = b"".join(unpack.decompress(self.data[a : a + s], max_output_size=BLOCK // 8) for a, s in zip(self.at[p].tolist(), self.size[p].tolist(), strict=True))
             bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").astype(bool)
             out = np.empty(self.n, kind)
-            out[~bits] = level[: self.zeros[p]]
-            out[bits] = level[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
+            out[np.flatnonzero(~bits)] = level[: self.zeros[p]]
+            out[np.flatnonzero(bits)] = level[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
             level = out
         return self.used[level].astype("<u4")
 
