@@ -7,11 +7,12 @@ of sets with a Jaccard similarity of 0.75 share at least MATCHES of K values, bu
 Skip: a value that one class alone has joins nothing, and a class with fewer than MATCHES shared values is left out for
 good. Prefix: two classes that agree in MATCHES values agree in one of the rarest K - MATCHES + 1 of each, so only these
 are posted, and common passages, which fill common postings, seldom count. Merge: first every member of a posting is
-held against the posting's smallest id; collisions of the signatures are counted, pairs above the threshold are confirmed
+held against the posting's centre, the member most of whose shingles other documents share; collisions of the signatures are counted, pairs above the threshold are confirmed
 on full sets, and the links' components are found. A posting whose members are one component by then is done, which
 settles large groups of copies without forming their pairs. In the others, members outside the posting's largest
 component are held against all members, in blocks of bounded size; a pair is counted in the first posting that both
-share, and skipped if its ends are in one component already. So every pair of classes that could add a link between
+share, and skipped if its ends are in one component already, if too few of its shingles occur in any other document's set,
+or if the rarest shingles of the two, which similar sets must have in common, are apart. So every pair of classes that could add a link between
 components is counted, and no group is ever in one task.
 
 Defined results: documents without words have an empty set, are linked with nothing, and stay; rows with a null doc_id
@@ -64,12 +65,12 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def posted(classes: DataFrame) -> DataFrame:
-    """rep, n, sig and posts (c, key, pivot: size, pair and smallest member of a posting) of each class that may have a partner."""
+    """rep, n, sig and posts (c, key: size and pair of a posting) of each class that may have a partner."""
     value = F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)
     tokens = classes.select("rep", "n", F.posexplode("sig").alias("j", "v")).select("rep", "n", (F.shiftleft(F.col("j").cast("long"), 32) + value).alias("key"))
     # Written, so that the join below it may split a common value's rows among tasks.
-    shared = written(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "n")).alias("pivot")).where("c > 1"), "shared")
-    posts = tokens.join(shared, "key").groupBy("rep").agg(F.collect_set(F.struct("c", "key", "pivot")).alias("posts")).where(F.size("posts") >= MATCHES)
+    shared = written(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    posts = tokens.join(shared, "key").groupBy("rep").agg(F.collect_set(F.struct("c", "key")).alias("posts")).where(F.size("posts") >= MATCHES)
     posts = posts.withColumn("posts", F.slice(F.sort_array("posts"), F.lit(1), F.size("posts") - (MATCHES - 1)))
     return classes.select("rep", "n", "sig").join(posts, "rep")
 
@@ -117,39 +118,77 @@ def _sizes_fit(m, n):
     return 100 * F.least(m, n) >= SIMILAR * F.greatest(m, n)
 
 
+def _could_share(m, sum_of_sizes):
+    """Whether sets that share m at most can be similar enough: intersection >= SIMILAR % of (sum of sizes - intersection)."""
+    return (100 + SIMILAR) * m >= SIMILAR * sum_of_sizes
+
+
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """rep, m, early: how many shingles of each set another set has too, and the rarest of them.
+
+    No pair shares more than the lesser m. Ordered by rarity, a set's own shingles alone come first, then these; similar
+    sets have one in common among the first (size - intersection + 1) of each, which early covers for any partner."""
+    each = sets.select("rep", F.explode("shingles").alias("x"))
+    twice = each.groupBy("x").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("x", "c")
+    own = each.join(written(twice, "twice"), "x").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("c", "x"))).alias("own"))
+    sizes = sets.groupBy("rep").agg(F.max(F.size("shingles")).alias("n"))
+    reach = F.floor(F.col("n") * (100 - SIMILAR) / 100) + 1 - (F.col("n") - F.size("own"))
+    early = F.transform(F.slice("own", F.lit(1), F.greatest(reach, F.lit(0)).cast("int")), lambda o: o["x"])
+    return own.join(sizes, "rep").select("rep", F.size("own").alias("m"), early.alias("early"))
+
+
 def star_pairs(posts: DataFrame) -> DataFrame:
-    """Each class with the smallest members of its postings, if enough of their values collide."""
-    pivots = posts.select(F.col("rep").alias("b"), "n", F.col("sig").alias("sig_b"), F.explode(F.array_distinct(F.transform("posts", lambda p: p["pivot"]))).alias("pivot"))
-    pairs = pivots.where(F.col("pivot.rep") != F.col("b")).where(_sizes_fit(F.col("pivot.n"), F.col("n"))).select(F.col("pivot.rep").alias("a"), "b", "sig_b")
+    """Each class with its postings' centres, the members with the greatest share of common shingles, if enough values collide."""
+    members = posts.select("rep", "n", "m", "sig", F.explode(F.transform("posts", lambda p: p["key"])).alias("key"))
+    centres = written(members.groupBy("key").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("rep")).alias("low"), "n", "m")).alias("x")).select("key", (-F.col("x.low")).alias("a"), F.col("x.n").alias("n_a"), F.col("x.m").alias("m_a")), "centres")
+    pairs = members.join(centres, "key").where(F.col("a") != F.col("rep")).where(_sizes_fit(F.col("n_a"), F.col("n")) & _could_share(F.least("m", "m_a"), F.col("n") + F.col("n_a")))
+    pairs = pairs.groupBy("a", F.col("rep").alias("b")).agg(F.first("sig").alias("sig_b"))
     pairs = pairs.join(posts.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
     same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
     return pairs.where(same >= MATCHES).select("a", "b")
 
 
 def rest_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share a posting and enough values."""
+    """Pairs of classes in different components that share a posting, enough values, and could share enough shingles."""
     own = posts.join(labels, posts["rep"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "rep"))
     mask = F.aggregate("posts", F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(p["key"], 32).cast("int"))))
-    members = own.select("rep", "n", "comp", "sig", mask.alias("mask"), F.explode(F.transform("posts", lambda p: p["key"])).alias("key"))
+    members = own.select("rep", "comp", F.explode(F.transform("posts", lambda p: p["key"])).alias("key"))
     by = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("every"), F.max(F.struct("c", "comp")).alias("most")).where(F.col("every") > F.col("most.c"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     by = written(by.select("key", F.col("most.comp").alias("main"), blocks(F.col("every")).alias("wide"), blocks(F.col("every") - F.col("most.c")).alias("high")), "mixed")
     rows = members.join(by, "key").withColumn("outside", F.col("comp") != F.col("main")).withColumn("h", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
+    rows = rows.join(posts.select("rep", "n", "m", "early", "sig", mask.alias("mask")), "rep")  # only what is left gets its payload
     left = rows.where("outside").select("*", (F.col("h") % F.col("high")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), F.lit(True).alias("asks"))
     right = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), (F.col("h") % F.col("wide")).cast("int").alias("j"), F.lit(False).alias("asks"))
-    cols = ["key", "i", "j", "asks", "outside", "rep", "n", "comp", "mask", "sig"]
+    cols = ["key", "i", "j", "asks", "outside", "rep", "n", "m", "early", "comp", "mask", "sig"]
 
     def count(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy() for c in ("asks", "outside", "rep", "n", "comp", "mask")}
+        col = {c: table.column(c).to_numpy() for c in ("asks", "outside", "rep", "n", "m", "comp", "mask")}
         sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, K)
         coordinate = int(table.column("key")[0].as_py()) >> 32
         bits = (col["mask"][:, None] >> np.arange(K) & 1).astype(bool)
         q, r = np.flatnonzero(col["asks"]), np.flatnonzero(~col["asks"])
+        # The early shingles of all rows end to end, whose they are, and their places among their set's by rarity.
+        early = table.column("early").combine_chunks()
+        cut = early.offsets.to_numpy().astype(np.int64)
+        cut, rare = cut - cut[0], early.flatten().to_numpy()
+        whose = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        place = np.arange(len(rare)) - cut[whose] + (col["n"] - col["m"])[whose]
         found_a, found_b = [], []
         for x in q.tolist():
             n, m = col["n"][x], col["n"][r]
-            ok = (col["comp"][r] != col["comp"][x]) & (100 * np.minimum(n, m) >= SIMILAR * np.maximum(n, m)) & (~col["outside"][r] | (col["rep"][r] > col["rep"][x]))
-            y = r[ok]
+            could = _could_share(np.minimum(col["m"][x], col["m"][r]), n + m)
+            ok = (col["comp"][r] != col["comp"][x]) & could & (100 * np.minimum(n, m) >= SIMILAR * np.maximum(n, m)) & (~col["outside"][r] | (col["rep"][r] > col["rep"][x]))
+            mine = np.argsort(rare[cut[x] : cut[x + 1]])
+            if not len(mine):
+                continue
+            at = np.searchsorted(rare[cut[x] : cut[x + 1]], rare, sorter=mine).clip(0, len(mine) - 1)
+            hit = np.flatnonzero(rare[cut[x] : cut[x + 1]][mine[at]] == rare)
+            least = -(-SIMILAR * (col["n"][x] + col["n"][whose[hit]]) // (100 + SIMILAR))  # of an intersection
+            met = (place[cut[x] : cut[x + 1]][mine[at[hit]]] <= col["n"][x] - least) & (place[hit] <= col["n"][whose[hit]] - least)
+            shares = np.zeros(len(cut) - 1, bool)
+            shares[whose[hit[met]]] = True
+            y = r[ok & shares[r]]
             same = sig[y] == sig[x]
             first = (same & bits[y] & bits[x]).argmax(1)
             y = y[(same.sum(1) >= MATCHES) & (first == coordinate)]
@@ -168,13 +207,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = written(classes, "classes")
     posts = written(posted(classes), "posts")
     sets = written(full_sets(docs, posts.select(F.col("rep").alias("id")), doc_id, text), "sets")
+    # Classes without early shared shingles have no partner.
+    posts = written(posts.join(shared_shingles(sets).where(F.size("early") > 0), "rep"), "posts")
     first = components(confirmed(star_pairs(posts), sets))
     more = written(confirmed(rest_pairs(posts, first), sets), "more")
     # Links between components join whole components: the graph of the second round has components as nodes.
     label = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     lifted = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     second = components(lifted).select(F.col("node").alias("low"), F.col("component").alias("lowest"))
-    nodes = posts.select("rep").join(first, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("low"))
+    nodes = posts.select("rep").distinct().join(first, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("low"))
     nodes = written(nodes.join(second, "low", "left").select(F.col("rep").alias("r"), F.coalesce("lowest", "low").alias("lowest")).distinct(), "nodes")
     out = rows.join(classes.select("digest", "rep"), "digest", "left").join(nodes, F.col("rep") == F.col("r"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "rep", "doc_id"))
