@@ -1,24 +1,29 @@
-"""Language-model scores by a probabilistic suffix tree.
+"""Language-model scores by a probabilistic suffix tree of words above one of bytes.
 
-A text is its tokens: words in lower case (A-Z), then one end. The tree models them as bytes, each word closed by a
-space and the text by an end symbol, so a text's probability is that of its token sequence. The 63 most frequent bytes
-are symbols of their own; the rest share one, with a distribution inside it.
+A text is its tokens: words in lower case (A-Z), then one end.
 
-Training counts every run of DEPTH + 1 symbols of every learning text. A context of up to DEPTH symbols is a state if it
-makes up at least LEAST of all places, its suffix is a state, and a divergence test tells its next-symbol distribution
-from its suffix's: twice the count times their Kullback-Leibler divergence must exceed what chance gives, and the
-divergence itself a floor. A state's distribution is smoothed with its suffix's, which weighs as many counts as the state
-has different next symbols (Witten-Bell). Scoring takes at each place the longest state that is a suffix of what came
-before; a table of all runs of DEPTH symbols gives it in one step. LEAST bounds the model at any size of the corpus.
+Words. Contexts are the last 1 to WORDS tokens of the same text. Every context that training holds at least TWICE times is
+a state, whatever the size of the corpus, and so are all its suffixes, which occur no less often. A state's distribution
+is its counts, smoothed with its suffix's, which weighs WEIGHTS counts: (n(context, w) + m p(w | suffix)) / (n(context) +
+m). The root is the share of each word in training less a discount d, got from how many words occur once and twice (Ney);
+what all discounts leave, U = d V / N, is for the spelling.
 
-A known token's probability is its count in training, smoothed with what the tree gives its spelling after the symbols
-before it, which weighs as many counts as training has distinct tokens (Witten-Bell): (c + V p) / (N + V). An unseen token
-is, as in the base score, one event; its probability U is the share of training's tokens that occur once (Good-Turing),
-and known tokens share 1 - U. `score` is the sum over these events. `spelt_score` beside it is the probability of the
-text letter by letter, where an unseen token costs its whole spelling: V p / (N + V).
+Bytes. A word is its bytes closed by a space, a text's end a symbol of its own. The 63 most frequent bytes are symbols;
+the rest share one, with a distribution inside it. Contexts of up to DEPTH symbols reach back over the word's start. A
+context that occurs LEAST times is tested: twice the count times the Kullback-Leibler divergence of its next symbols from
+its suffix's must exceed what chance gives, and the divergence a floor. Contexts that pass, and all their suffixes, are
+states (Witten-Bell smoothing). The alphabet bounds this tree, not a share of the corpus; it is the one thing that all
+tasks get.
 
-Counts of all words, which the base score needs too, are summed by a 64-bit number of the word. Words frequent enough to
-be among TOP are sent to all tasks; the other words of each text are joined to the table of counts.
+Counts of word sequences are nowhere gathered whole. Blocks of texts send the numbers (56 bits) of their distinct
+sequences of 1 to WORDS + 1 tokens, with their counts in learning texts, to buckets of numbers; a bucket adds them up and
+sends each block its sums, in the block's order; there they meet the block's texts again. A sequence moves once per block
+however often it occurs, and neither a bucket nor a block grows with the corpus. Two sequences share a number with
+probability 1.4e-17.
+
+`score` is the sum of the logarithms of the tokens' probabilities after their contexts; an unseen token is one event
+there, of probability U. `spelt_score` beside it uses no contexts of words and spells unseen words by the tree of bytes,
+which weighs as many counts as training has distinct tokens (Witten-Bell): (c + V p) / (N + V).
 
 Defined results: null and empty texts hold the end alone; rows with a null doc_id are scored but teach nothing; repeated
 rows teach as often as they occur; without learning texts N and V are 0 and all symbols are equally likely; an empty
@@ -33,20 +38,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.llm.common import documents, held_out, written
-from siltbed.llm.wordhash import END, SPACE, normal, word_hashes
+from siltbed.llm.tokenizing import slices
+from siltbed.llm.wordhash import END, SPACE, mixed, normal, word_hashes
 
 DEPTH, BITS = 4, 6
 SYMBOLS = 1 << BITS
 RARE = SYMBOLS - 1
-LEAST = 1 / 20_000
+#: Occurrences of a context of bytes that is tested, and of a context of words that is a state.
+LEAST, TWICE = 16, 2
 #: Standard deviations above chance, and least divergence in nats, for a context to be kept.
 SIGMAS, FLOOR = 4.0, 0.005
-#: Words whose counts every task gets.
-TOP = 500_000
+#: Words in a context at most, and by its length the weight of its suffix.
+WORDS = 3
+WEIGHTS = (300.0, 5.0, 0.5)
+#: Bits of a sequence's number; bytes of text in a block; sequences in a bucket, about, and least bits of its number.
+KEY_BITS = 56
+BLOCK = 8_000_000
+BUCKET, LEAST_BITS = 8_000_000, 6
 #: The number of the end token among words.
 END_KEY = 0
 COUNTS = "kind int, key bigint, n bigint"
@@ -135,49 +148,52 @@ class Tree:
 
     def table(self) -> np.ndarray:
         """The row of the longest state for every run of DEPTH symbols."""
-        out = np.zeros((SYMBOLS,) * DEPTH, np.int32)
+        out = np.zeros(SYMBOLS**DEPTH, np.int32)
         for k in range(1, DEPTH + 1):
-            for code, row in zip(self.codes[k].tolist(), self.rows[k].tolist(), strict=True):
-                out[(Ellipsis, *(code >> BITS * (k - 1 - i) & (SYMBOLS - 1) for i in range(k)))] = row
-        return out.ravel()
+            out.reshape(-1, SYMBOLS**k)[:, self.codes[k]] = self.rows[k]
+        return out
 
 
 def fit_tree(runs: DataFrame, seen: np.ndarray, place: np.ndarray) -> Tree:
-    """The tree of these runs. What reaches the driver are the next-symbol counts of contexts above LEAST: at most DEPTH / LEAST rows of SYMBOLS."""
-    total = int(runs.agg(F.sum("n")).first()[0] or 0)
-    least = max(2, total * LEAST)
+    """The tree of these runs. What reaches the driver are the next-symbol counts of contexts that occur LEAST times; the alphabet bounds them."""
     each = runs.select(F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("k"), "code", "n")
     each = each.select("k", F.expr(f"code & (shiftleft(1L, {BITS} * (k + 1)) - 1)").alias("code"), "n").groupBy("k", "code").agg(F.sum("n").alias("n"))
-    frequent = each.groupBy("k", F.shiftright("code", BITS).alias("context")).agg(F.sum("n").alias("total")).where(F.col("total") >= least)
+    frequent = each.groupBy("k", F.shiftright("code", BITS).alias("context")).agg(F.sum("n").alias("total")).where((F.col("total") >= LEAST) | (F.col("k") == 0))
     got = each.withColumn("context", F.shiftright("code", BITS)).join(frequent, ["k", "context"]).select("k", "context", (F.col("code") % SYMBOLS).alias("next"), "n").toArrow()
     k, context, nxt, n = (got.column(c).to_numpy() for c in ("k", "context", "next", "n"))
     root = np.zeros(SYMBOLS)
     np.add.at(root, nxt[k == 0], n[k == 0])
-    probs = [((root + 1) / (root.sum() + SYMBOLS))[None]]
-    codes, rows, kept = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [probs[0]]
-    size = 1
+    codes, smooth, good = [np.zeros(1, np.int64)], [((root + 1) / (root.sum() + SYMBOLS))[None].astype(np.float32)], [np.ones(1, bool)]
+    parents = [np.zeros(1, np.int64)]
     for order in range(1, DEPTH + 1):
         mine = k == order
         own = np.unique(context[mine])
-        counts = np.zeros((len(own), SYMBOLS))
-        np.add.at(counts, (np.searchsorted(own, context[mine]), nxt[mine]), n[mine])
-        parent = own & ((1 << BITS * (order - 1)) - 1)
-        at = np.searchsorted(codes[-1], parent).clip(0, max(0, len(codes[-1]) - 1))
-        have = codes[-1][at] == parent if len(codes[-1]) else np.zeros(len(own), bool)
-        own, counts, at = own[have], counts[have], at[have]
-        base, sums, kinds = kept[-1][at] if len(own) else np.zeros((0, SYMBOLS)), counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        share = counts / np.maximum(sums, 1)
-        divergence = np.where(share > 0, share * np.log(np.where(share > 0, share, 1) / np.maximum(base, 1e-300)), 0).sum(1)
-        chance = kinds[:, 0] + SIGMAS * np.sqrt(2.0 * kinds[:, 0])
-        good = (2 * sums[:, 0] * divergence > chance) & (divergence > FLOOR)
-        codes.append(own[good])
-        kept.append(((counts + kinds * base) / (sums + kinds))[good])
-        rows.append(size + np.arange(int(good.sum())))
-        size += int(good.sum())
+        counts = np.zeros((len(own), SYMBOLS), np.float32)
+        counts[np.searchsorted(own, context[mine]), nxt[mine]] = n[mine]
+        at = np.searchsorted(codes[-1], own & ((1 << BITS * (order - 1)) - 1))  # a suffix occurs no less often
+        probs, passed = np.zeros_like(counts), np.zeros(len(own), bool)
+        for lo in range(0, len(own), 1 << 14):
+            c, base = counts[lo : lo + (1 << 14)].astype(np.float64), smooth[-1][at[lo : lo + (1 << 14)]].astype(np.float64)
+            sums, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
+            share = c / sums
+            divergence = np.where(c > 0, share * np.log(np.where(c > 0, share, 1) / np.maximum(base, 1e-300)), 0).sum(1)
+            passed[lo : lo + (1 << 14)] = (2 * sums[:, 0] * divergence > kinds[:, 0] + SIGMAS * np.sqrt(2.0 * kinds[:, 0])) & (divergence > FLOOR)
+            probs[lo : lo + (1 << 14)] = (c + kinds * base) / (sums + kinds)
+        codes.append(own)
+        smooth.append(probs)
+        good.append(passed)
+        parents.append(at)
+    for order in range(DEPTH, 1, -1):
+        good[order - 1][parents[order][good[order]]] = True
+    rows, size = [], 0
+    for g in good:
+        rows.append(size + np.arange(int(g.sum())))
+        size += int(g.sum())
+    codes, probs = [c[g] for c, g in zip(codes, good, strict=True)], [x[g] for x, g in zip(smooth, good, strict=True)]
     rare = place == RARE
     inside = np.zeros(256)
     inside[rare] = np.log10((seen[rare] + 1) / (seen[rare].sum() + rare.sum()))
-    return Tree(uuid.uuid4().hex, place, codes, rows, np.log10(np.concatenate(kept)).astype(np.float32), inside)
+    return Tree(uuid.uuid4().hex, place, codes, rows, np.log10(np.concatenate(probs)), inside)
 
 
 _TABLES: dict[str, np.ndarray] = {}
@@ -186,32 +202,23 @@ _TABLES: dict[str, np.ndarray] = {}
 @dataclass
 class Model:
     tree: Tree
-    top: np.ndarray  # numbers of the words that every task gets, ascending
-    top_n: np.ndarray  # their counts
     tokens: int
     distinct: int
-    end: float  # the end's count
-    unseen: float  # probability of an unseen token
+    discount: float  # taken from each distinct token's count
+
+    @property
+    def unseen(self) -> float:
+        """What all discounts leave."""
+        return self.discount * self.distinct / self.tokens
 
 
-def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """(model, counts of all words). texts: one column, text."""
+def fit(texts: DataFrame) -> Model:
+    """texts: one column, text."""
     counts = written(count_words(texts), "counts")
-    words = counts.where("kind = 0")
     seen = np.zeros(256, np.int64)
     for r in counts.where("kind = 1").collect():  # 256 rows
         seen[r.key] = r.n
-    sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("key") == END_KEY, F.col("n"))).alias("e"), F.count_if(F.col("n") == 1).alias("once")).first()
-    steps = words.groupBy(F.floor(8 * F.log2("n")).cast("int").alias("step")).count().collect()  # at most 8 * 64 rows
-    step, room = 1 << 20, TOP
-    for r in sorted(steps, key=lambda r: -r.step):
-        room -= r["count"]
-        if room < 0:
-            break
-        step = r.step
-    got = words.where(F.floor(8 * F.log2("n")) >= step).select("key", "n").toArrow()
-    top, n = got.column("key").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(top)
+    sums = counts.where("kind = 0").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
     frequent = np.argsort(-seen, kind="stable")[:RARE]
     place = np.full(256, RARE, np.uint8)
     place[frequent] = np.arange(len(frequent))
@@ -219,73 +226,163 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
         if place[byte] == RARE:
             place[[byte, int(frequent[-1 - (byte == END)])]] = place[[int(frequent[-1 - (byte == END)]), byte]]
     tree = fit_tree(written(count_runs(texts, place), "runs"), seen, place)
-    return Model(tree, top[order], n[order].astype(np.float64), int(sums.n or 0), int(sums.v or 0), float(sums.e or 0), min(0.5, max(1, sums.once) / max(2, sums.n or 0))), words.select("key", "n")
+    return Model(tree, int(sums.n or 0), int(sums.v or 0), (sums.once + 0.5) / (sums.once + 2 * sums.twice + 1))
 
 
-SCORED = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, spelt double, others array<struct<key: bigint, spelt: double>>"
+def tokens_of(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, places): all tokens of what normal() yields, and the place of each in its text."""
+    words, word_ends = word_hashes(data, ends)
+    stops = word_ends + np.arange(len(ends))
+    out = np.full(len(words) + len(ends), END_KEY, np.uint64)
+    is_word = np.ones(len(out), bool)
+    is_word[stops] = False
+    out[is_word] = words
+    starts = np.append(0, stops[:-1] + 1)
+    return out, np.arange(len(out)) - np.repeat(starts, np.diff(stops, prepend=-1))
 
 
-def scored(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out and the scores of every row. rows: doc_id, held_out, text."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def sequences(tokens: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(numbers, at): the numbers of all sequences of 1 to WORDS + 1 tokens, length by length, and where each of them ends."""
+    keys, at, key = [], [], np.zeros(len(tokens), np.uint64)
+    for k in range(WORDS + 1):
+        key = mixed(np.append(np.uint64(0), key[:-1]) * np.uint64(0x9E3779B97F4A7C15) + tokens + np.uint64(k + 1)) if k else mixed(tokens + np.uint64(1))
+        at.append(np.flatnonzero(places >= k))
+        keys.append(key[at[-1]] >> np.uint64(64 - KEY_BITS))
+    return np.concatenate(keys), at
+
+
+def packed(x: np.ndarray, size: int) -> bytes:
+    """The low bytes of each number, plane by plane, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, n: int, size: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(pa.decompress(blob, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n).T
+    return out.view("<u8")[:, 0].astype(np.uint64)
+
+
+PART = "block bigint, bucket int, n bigint, keys binary, counts binary, texts binary"
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, spelt_score double"
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Texts by bounded size, with numbers that are the same each time a task reads the same rows."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        at = 0
+        for part in slices(batch.column("text"), BLOCK):
+            yield number, batch.slice(at, len(part))
+            number, at = number + 1, at + len(part)
+
+
+def parts(block: list[int], bucket: list[int], n: list[int], keys: list | None = None, counts: list | None = None, texts: list | None = None) -> pa.RecordBatch:
+    none = [None] * len(block)
+    arrays = (pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64()), *(pa.array(x or none, pa.binary()) for x in (keys, counts, texts)))
+    return pa.RecordBatch.from_arrays(list(arrays), names=["block", "bucket", "n", "keys", "counts", "texts"])
+
+
+def asked(rows: DataFrame, bits: int) -> DataFrame:
+    """Of each block, its distinct sequences and how often its learning texts hold them, by buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in blocks(batches):
+            got = [tokens_of(data, ends) for _, data, ends in normal(block.column("text"))]
+            tokens, places = (np.concatenate(x) for x in zip(*got, strict=True))
+            learns = block.column("learns").to_numpy(zero_copy_only=False).astype(bool)[np.cumsum(places == 0) - 1]
+            keys, at = sequences(tokens, places)
+            keys, back = np.unique(keys, return_inverse=True)
+            n = np.bincount(back, learns[np.concatenate(at)], len(keys)).astype(np.uint64)
+            cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(KEY_BITS - bits))
+            k, c = np.split(keys, cuts), np.split(n, cuts)
+            yield parts([number] * len(k), list(range(len(k))), [len(x) for x in k], [packed(x, 7) for x in k], [packed(x, 4) for x in c])
+
+    return rows.select("learns", "text").mapInArrow(run, PART)
+
+
+def answered(parts_: DataFrame) -> DataFrame:
+    """The sums over all blocks, for each block in its order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, sizes = table.column("block").to_pylist(), table.column("n").to_pylist()
+        keys = np.concatenate([unpacked(x.as_py(), n, 7) for x, n in zip(table.column("keys"), sizes, strict=True)])
+        n = np.concatenate([unpacked(x.as_py(), n, 4) for x, n in zip(table.column("counts"), sizes, strict=True)])
+        _, back = np.unique(keys, return_inverse=True)
+        n = np.bincount(back, n)[back].astype(np.uint64)
+        cuts = np.cumsum(sizes)[:-1]
+        return pa.Table.from_batches([parts(block, table.column("bucket").to_pylist(), sizes, counts=[packed(x, 4) for x in np.split(n, cuts)])])
+
+    return parts_.groupBy("bucket").applyInArrow(run, PART)
+
+
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out and the scores of every row. rows: doc_id, held_out, learns, text."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, (WORDS + 1) * model.tokens / BUCKET)))))
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in blocks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(block)
+            yield parts([number], [-1], [block.num_rows], texts=[sink.getvalue().to_pybytes()])
+
+    def run(table: pa.Table) -> pa.Table:
         m = shared.value
-        tree = m.tree
+        tree, total, types = m.tree, m.tokens, m.distinct
         if tree.name not in _TABLES:
             _TABLES.clear()
             _TABLES[tree.name] = tree.table()
-        table, logs = _TABLES[tree.name], tree.logs.ravel()
-        for batch in batches:
-            at = 0
-            for n, data, ends in normal(batch.column("text")):
-                code, s, raw, stops = symbols_of(data, ends, tree.place)
-                value = logs[table[code >> np.uint32(BITS)].astype(np.int64) * SYMBOLS + s].astype(np.float64) + tree.inside[raw]
-                last = np.flatnonzero((raw == SPACE) | (raw == END))  # of each token
-                spelt = np.add.reduceat(value, np.append(0, last[:-1] + 1))
-                is_end = raw[last] == END
-                words, word_ends = word_hashes(data, ends)
-                distinct, back = np.unique(words, return_inverse=True)
-                place = np.searchsorted(m.top, distinct).clip(0, max(0, len(m.top) - 1))
-                found = m.top[place] == distinct if len(m.top) else np.zeros(len(distinct), bool)
-                c = np.full(len(last), m.end)
-                c[~is_end] = (m.top_n[place] * found)[back] if len(m.top) else 0
-                doc = np.cumsum(is_end) - is_end
-                given = c > 0
-                p = np.where(given, np.log10(np.maximum(c + m.distinct * 10.0**spelt, 1e-300) / max(1, m.tokens + m.distinct)), 0)
-                if not m.tokens:  # nothing was learned
-                    given[:], p = True, spelt
-                rest = ~given & ~is_end
-                others = pa.StructArray.from_arrays([pa.array(words[rest[~is_end]].view(np.int64)), pa.array(spelt[rest])], ["key", "spelt"])
-                cut = np.append(0, np.cumsum(np.bincount(doc[rest], minlength=n))).astype(np.int32)
-                part = batch.slice(at, n)
-                sums = (pa.array(np.bincount(doc, x, n)) for x in (np.where(c > 0, np.log10(c + 1), 0), p))
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(word_ends, prepend=0) + 1), pa.array(np.bincount(doc, c > 0, n).astype(np.int64)), *sums, pa.ListArray.from_arrays(pa.array(cut), others)], names=["rid", "doc_id", "held_out", "n_tokens", "known", "logs", "spelt", "others"])
-                at += n
-
-    got = rows.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(run, SCORED)
-    got = written(got, "scores")
-    n, total = F.col("n"), max(1, model.tokens + model.distinct)
-    spelt = F.col("x.spelt")
-    p = F.when(n.isNull(), float(np.log10(max(1, model.distinct) / total)) + spelt).otherwise(F.log10((n + model.distinct * F.pow(F.lit(10.0), spelt)) / total))
-    more = got.select("rid", F.explode("others").alias("x")).join(counts, F.col("x.key") == counts["key"], "left")
-    more = more.groupBy("rid").agg(F.count("n").alias("known_2"), F.sum(F.log10(n + 1.0)).alias("logs_2"), F.sum(p).alias("spelt_2"), F.sum(F.when(n.isNotNull(), p)).alias("seen_2"))
-    out = got.drop("others").join(more, "rid", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    known = (F.col("known") + zero("known_2")).cast("long")
-    score = F.col("spelt") + F.coalesce("seen_2", F.lit(0.0))
-    if model.tokens:
-        score = score + known * float(np.log10(1 - model.unseen)) + (F.col("n_tokens") - known) * float(np.log10(model.unseen))
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        known.alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("logs_2", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(model.tokens + model.distinct + 1))).alias("base_score"),
-        score.alias("score"),
-        (F.col("spelt") + F.coalesce("spelt_2", F.lit(0.0))).alias("spelt_score"),
-    )
+        states, logs = _TABLES[tree.name], tree.logs.ravel()
+        bucket = table.column("bucket").to_numpy()
+        order = np.argsort(bucket)
+        if np.count_nonzero(bucket < 0) != 1:
+            raise ValueError("a block's texts are missing or not whole")
+        with pa.ipc.open_stream(table.column("texts")[int(order[0])].as_py()) as source:
+            block = source.read_next_batch()
+        got, spelt = [], []
+        for _, data, ends in normal(block.column("text")):
+            got.append(tokens_of(data, ends))
+            code, s, raw, _ = symbols_of(data, ends, tree.place)
+            value = logs[states[code >> np.uint32(BITS)].astype(np.int64) * SYMBOLS + s].astype(np.float64) + tree.inside[raw]
+            last = np.flatnonzero((raw == SPACE) | (raw == END))  # of each token
+            spelt.append(np.add.reduceat(value, np.append(0, last[:-1] + 1)))
+        tokens, places = (np.concatenate(x) for x in zip(*got, strict=True))
+        spelt = np.concatenate(spelt)
+        keys, at = sequences(tokens, places)
+        distinct, back = np.unique(keys, return_inverse=True)
+        n = np.concatenate([unpacked(table.column("counts")[i].as_py(), table.column("n")[i].as_py(), 4) for i in order[1:].tolist()]).astype(np.float64)
+        if len(n) != len(distinct):
+            raise ValueError("a block was read in another order than before")
+        n = np.split(n[back], np.cumsum([len(x) for x in at])[:-1])
+        c = n[0]
+        if total:
+            p = after_words(np.maximum(c - m.discount, 0) / total + m.unseen * np.where(c > 0, 10.0**spelt, 1), n, at)
+            score = np.log10(p)
+            whole = np.where(c > 0, np.log10(np.maximum(c + types * 10.0**spelt, 1e-300) / (total + types)), np.log10(max(1, types) / (total + types)) + spelt)
+        else:  # nothing was learned
+            score = whole = spelt
+        doc = np.cumsum(places == 0) - 1
+        size = block.num_rows
+        sums = [np.bincount(doc, x, size) for x in (np.log10((c + 1) / (total + types + 1)), score, whole)]
+        columns = [block.column("doc_id"), block.column("held_out"), pa.array(np.bincount(doc, minlength=size)), pa.array(np.bincount(doc, c > 0, size).astype(np.int64)), pa.array(np.full(size, total)), *map(pa.array, sums)]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelt_score"])
+
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "learns", "text")
+    both = rows.drop("learns").mapInArrow(texts, PART).unionByName(answered(asked(rows, bits)))
+    return both.groupBy("block").applyInArrow(run, SCORED)
+
+
+def after_words(p: np.ndarray, n: list[np.ndarray], at: list[np.ndarray]) -> np.ndarray:
+    """Probabilities of tokens after their contexts. p: at the root; n: counts of the sequences that end `at` places, by length."""
+    p, before = p.copy(), n[0]
+    for weight, own, places in zip(WEIGHTS, n[1:], at[1:], strict=True):
+        context = before[places - 1]
+        p[places] = np.where(context >= TWICE, (own + weight * p[places]) / (context + weight), p[places])
+        before = np.zeros(len(p))
+        before[places] = own
+    return p
 
 
 def fold(doc_id: Column) -> Column:
@@ -294,6 +391,6 @@ def fold(doc_id: Column) -> Column:
 
 def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every text, learned from six sevenths of the documents."""
-    docs = documents(spark, sf_dir).select("doc_id", fold(F.col("doc_id")).alias("held_out"), "text")
-    model, counts = fit(docs.where("doc_id is not null").where(~F.col("held_out")).select("text"))
-    return scored(docs, model, counts)
+    out = fold(F.col("doc_id"))
+    docs = documents(spark, sf_dir).select("doc_id", out.alias("held_out"), (F.col("doc_id").isNotNull() & ~out).alias("learns"), "text")
+    return scored(docs, fit(docs.where("learns").select("text")))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from siltbed.llm.queries import oracle_sql, queries
-from tests.llm.conftest import crc_mod
+from tests.llm.conftest import crc_mod, write
 
 Q, SQL = queries(), oracle_sql()
 
@@ -236,3 +237,22 @@ def test_packing(spark, sf_dir, rows):
                     want[r["start"], r["length"]] += 1
                     assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
             assert sum(r["length"] for r in own) % len(ids) == 0
+
+
+def scores(spark, tmp_path, learn, ask):
+    """score by text of ask, learned from learn."""
+    ids = [i for i in range(20 * (len(learn) + len(ask))) if not crc_mod(i, 7, 2)], [i for i in range(20 * (len(learn) + len(ask))) if crc_mod(i, 7, 2)]
+    rows = [(i, x, "en", "s", None) for which, texts in zip(ids, (learn, ask)) for i, x in zip(which, texts)]
+    got = result(spark, "op4_suffix_tree_lm", write(tmp_path / "t", rows))
+    by = {r["doc_id"]: r["score"] for r in got}
+    return [by[i] for i, _ in zip(ids[1], ask)]
+
+
+def test_contexts_of_words_stay_in_a_larger_corpus(spark, tmp_path):
+    rng = random.Random(3)
+    stock = ["".join(rng.choice("etaoinshrdlu") for _ in range(7)) for _ in range(500)]
+    passage = [rng.choice(stock) for _ in range(60)]
+    mixed = rng.sample(passage, len(passage))
+    learn = [" ".join(rng.choice(stock) for _ in range(100)) for _ in range(1000)] + [" ".join(passage)] * 2
+    known, shuffled = scores(spark, tmp_path, learn, [" ".join(passage), " ".join(mixed)])
+    assert known > -1.0 * len(passage) and shuffled < -2.0 * len(passage)
