@@ -17,13 +17,14 @@ tasks get.
 
 Counts of word sequences are nowhere gathered whole. Blocks of texts send the numbers (56 bits) of their distinct
 sequences of 1 to WORDS + 1 tokens, with their counts in learning texts, to buckets of numbers; a bucket adds them up and
-sends each block its sums, in the block's order; there they meet the block's texts again. A sequence moves once per block
-however often it occurs, and neither a bucket nor a block grows with the corpus. Two sequences share a number with
+sends each block its sums, in the block's order; there they meet the block's texts again. This is done length by length.
+A sequence moves once per block however often it occurs, and neither a bucket nor a block grows with the corpus. Two sequences share a number with
 probability 1.4e-17.
 
-`score` is the sum of the logarithms of the tokens' probabilities after their contexts; an unseen token is one event
-there, of probability U. `spelt_score` beside it uses no contexts of words and spells unseen words by the tree of bytes,
-which weighs as many counts as training has distinct tokens (Witten-Bell): (c + V p) / (N + V).
+`score` is the log10 probability of the text: at the root a token costs (c - d) / N + U p, with p its spelling by the tree
+of bytes, so an unseen token costs the mass of its whole class times its own spelling, and over all texts this sums to one
+at most. `spelt_score` beside it uses no contexts of words and weighs the spelling by the number of distinct tokens
+(Witten-Bell): (c + V p) / (N + V).
 
 Defined results: null and empty texts hold the end alone; rows with a null doc_id are scored but teach nothing; repeated
 rows teach as often as they occur; without learning texts N and V are 0 and all symbols are equally likely; an empty
@@ -32,9 +33,11 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +62,7 @@ WEIGHTS = (300.0, 5.0, 0.5)
 #: Bits of a sequence's number; bytes of text in a block; sequences in a bucket, about, and least bits of its number.
 KEY_BITS = 56
 BLOCK = 8_000_000
-BUCKET, LEAST_BITS = 8_000_000, 6
+BUCKET, LEAST_BITS = 2_000_000, 6
 #: The number of the end token among words.
 END_KEY = 0
 COUNTS = "kind int, key bigint, n bigint"
@@ -241,14 +244,14 @@ def tokens_of(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.arange(len(out)) - np.repeat(starts, np.diff(stops, prepend=-1))
 
 
-def sequences(tokens: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(numbers, at): the numbers of all sequences of 1 to WORDS + 1 tokens, length by length, and where each of them ends."""
-    keys, at, key = [], [], np.zeros(len(tokens), np.uint64)
+def sequences(tokens: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers, at) of all sequences of 1 to WORDS + 1 tokens, length by length, and where each of them ends."""
+    key = mixed(tokens + np.uint64(1))
     for k in range(WORDS + 1):
-        key = mixed(np.append(np.uint64(0), key[:-1]) * np.uint64(0x9E3779B97F4A7C15) + tokens + np.uint64(k + 1)) if k else mixed(tokens + np.uint64(1))
-        at.append(np.flatnonzero(places >= k))
-        keys.append(key[at[-1]] >> np.uint64(64 - KEY_BITS))
-    return np.concatenate(keys), at
+        if k:
+            key = mixed(np.append(np.uint64(0), key[:-1]) * np.uint64(0x9E3779B97F4A7C15) + tokens + np.uint64(k + 1))
+        at = np.flatnonzero(places >= k)
+        yield key[at] >> np.uint64(64 - KEY_BITS), at
 
 
 def packed(x: np.ndarray, size: int) -> bytes:
@@ -283,20 +286,21 @@ def parts(block: list[int], bucket: list[int], n: list[int], keys: list | None =
     return pa.RecordBatch.from_arrays(list(arrays), names=["block", "bucket", "n", "keys", "counts", "texts"])
 
 
-def asked(rows: DataFrame, bits: int) -> DataFrame:
-    """Of each block, its distinct sequences and how often its learning texts hold them, by buckets."""
+def asked(rows: DataFrame, k: int, bits: int) -> DataFrame:
+    """Of each block, its distinct sequences of k + 1 tokens and how often its learning texts hold them, by buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in blocks(batches):
             got = [tokens_of(data, ends) for _, data, ends in normal(block.column("text"))]
             tokens, places = (np.concatenate(x) for x in zip(*got, strict=True))
             learns = block.column("learns").to_numpy(zero_copy_only=False).astype(bool)[np.cumsum(places == 0) - 1]
-            keys, at = sequences(tokens, places)
+            keys, at = next(islice(sequences(tokens, places), k, None))
             keys, back = np.unique(keys, return_inverse=True)
-            n = np.bincount(back, learns[np.concatenate(at)], len(keys)).astype(np.uint64)
+            n = np.bincount(back, learns[at], len(keys)).astype(np.uint64)
             cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(KEY_BITS - bits))
-            k, c = np.split(keys, cuts), np.split(n, cuts)
-            yield parts([number] * len(k), list(range(len(k))), [len(x) for x in k], [packed(x, 7) for x in k], [packed(x, 4) for x in c])
+            own = np.split(keys, cuts)
+            yield parts([number] * len(own), list(range(k << bits, (k + 1) << bits)), [len(x) for x in own], [packed(x, 7) for x in own], [packed(x, 4) for x in np.split(n, cuts)])
+            pa.default_memory_pool().release_unused()
 
     return rows.select("learns", "text").mapInArrow(run, PART)
 
@@ -319,7 +323,7 @@ def answered(parts_: DataFrame) -> DataFrame:
 def scored(rows: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out and the scores of every row. rows: doc_id, held_out, learns, text."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, (WORDS + 1) * model.tokens / BUCKET)))))
+    bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, model.tokens / BUCKET)))))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in blocks(batches):
@@ -350,16 +354,19 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
             spelt.append(np.add.reduceat(value, np.append(0, last[:-1] + 1)))
         tokens, places = (np.concatenate(x) for x in zip(*got, strict=True))
         spelt = np.concatenate(spelt)
-        keys, at = sequences(tokens, places)
-        distinct, back = np.unique(keys, return_inverse=True)
-        n = np.concatenate([unpacked(table.column("counts")[i].as_py(), table.column("n")[i].as_py(), 4) for i in order[1:].tolist()]).astype(np.float64)
-        if len(n) != len(distinct):
-            raise ValueError("a block was read in another order than before")
-        n = np.split(n[back], np.cumsum([len(x) for x in at])[:-1])
+        n, at = [], []
+        for k, (keys, ends_at) in enumerate(sequences(tokens, places)):
+            distinct, back = np.unique(keys, return_inverse=True)
+            own = [i for i in order.tolist() if bucket[i] >> bits == k]
+            sums = np.concatenate([unpacked(table.column("counts")[i].as_py(), table.column("n")[i].as_py(), 4) for i in own]).astype(np.float64)
+            if len(sums) != len(distinct):
+                raise ValueError("a block was read in another order than before")
+            n.append(sums[back])
+            at.append(ends_at)
         c = n[0]
         if total:
-            p = after_words(np.maximum(c - m.discount, 0) / total + m.unseen * np.where(c > 0, 10.0**spelt, 1), n, at)
-            score = np.log10(p)
+            p = after_words(np.maximum(c - m.discount, 0) / total + m.unseen * 10.0 ** np.maximum(spelt, -250), n, at)
+            score = np.log10(p) + (np.minimum(spelt, -250) + 250) * (c == 0)  # beyond what a float holds
             whole = np.where(c > 0, np.log10(np.maximum(c + types * 10.0**spelt, 1e-300) / (total + types)), np.log10(max(1, types) / (total + types)) + spelt)
         else:  # nothing was learned
             score = whole = spelt
@@ -370,10 +377,19 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelt_score"])
 
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "learns", "text")
-    both = rows.drop("learns").mapInArrow(texts, PART).unionByName(answered(asked(rows, bits)))
+    both = rows.drop("learns").mapInArrow(texts, PART)
+    for k in range(WORDS + 1):  # one after the other, so that the disk holds what one length moves
+        both = both.unionByName(written(answered(asked(rows, k, bits)), f"sums_{k}"))
+        forget(rows.sparkSession)
     return both.groupBy("block").applyInArrow(run, SCORED)
 
 
+def forget(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files that no table needs any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def after_words(p: np.ndarray, n: list[np.ndarray], at: list[np.ndarray]) -> np.ndarray:
     """Probabilities of tokens after their contexts. p: at the root; n: counts of the sequences that end `at` places, by length."""
     p, before = p.copy(), n[0]

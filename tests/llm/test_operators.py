@@ -256,3 +256,11 @@ def test_contexts_of_words_stay_in_a_larger_corpus(spark, tmp_path):
     learn = [" ".join(rng.choice(stock) for _ in range(100)) for _ in range(1000)] + [" ".join(passage)] * 2
     known, shuffled = scores(spark, tmp_path, learn, [" ".join(passage), " ".join(mixed)])
     assert known > -1.0 * len(passage) and shuffled < -2.0 * len(passage)
+
+
+def test_texts_of_unseen_words_share_their_mass(spark, tmp_path):
+    rng = random.Random(4)
+    learn = [w for _ in range(60) for w in ("red", "green", "blue")] + ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    words = ["".join(rng.choice("abcdefgh") for _ in range(3 + k % 5)) + "z" for k in range(150)]
+    got = scores(spark, tmp_path, learn, [*sorted(set(words)), "q" * 20, "q" * 5000])
+    assert sum(10.0**x for x in got) < 1 and got[-1] < 100 * got[-2] and math.isfinite(got[-1])
