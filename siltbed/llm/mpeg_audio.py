@@ -4,10 +4,13 @@ Writer: MPEG-1 Layer III, 48 kHz, mono, CRC-protected. An ID3v2.3 tag names the
 carries the Xing table (frames, bytes, 100 seek points), then each frame holds 576 payload bytes behind an all-zero side
 info, which decoders play as silence.
 
-Parser: ID3v2 and ID3v1 tags, all MPEG versions and layers, Xing/Info and VBRI tables, CRC-16 checks, and
+Parser: ID3v2 and ID3v1 tags, all MPEG versions and layers, Xing/Info and VBRI tables, CRC-16 checks of Layer III, and
 resynchronisation: a header counts only if another header (or the end, or a tag) follows at the length it announces, so
 chance sync patterns inside the data are passed over. Durations are exact (samples and rate, never a float).
 
+Limits: checksums of Layers I and II are not verified (they count in neither crc_checked nor crc_errors); free-format
+frames are skipped as noise; of a frame's body, payload holds the first 576 bytes, which is all only of the writer's own.
+
 Defined results: null media and media without any frame give 0 frames, 0 samples, an empty payload and no offsets; a
 truncated last frame is not counted; repeated rows each get their own row; other columns pass through untouched,
 but for columns of the result's names, which are replaced.
