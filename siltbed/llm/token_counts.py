@@ -1,8 +1,7 @@
 """Token counts through a digest cache.
 
-A text's key is the SHA-256 of its content, with runs of ASCII blanks made one blank (the tokenizer drops blanks, so the
-count stays), beside a digest of the tokenizer's file and library version. Keys are joined to the counts stored in a
-Parquet cache; of the keys that miss, one text each is encoded, and the new counts are appended to the cache. Copies are
+A text's key is the SHA-256 of its content, beside a digest of the tokenizer's file and library version. Keys are joined to the counts stored in a
+Parquet cache; runs of ASCII blanks are made one blank first if the tokenizer drops blanks, so that the count stays. Of the keys that miss, one text each is encoded, and the new counts are appended to the cache. Copies are
 removed within each task before the shuffle by key, so that a text shared by a third of all rows moves once per task.
 
 Defined results: a null text counts as empty (0 tokens, 0 bytes) and other columns, null or not, pass through; repeated
@@ -12,6 +11,7 @@ rows each get their own row; an empty table gives an empty result; a cache that
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +34,15 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
-def content_digest(text: Column) -> Column:
-    return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "), 256))
+def keeps_blanks(path: str) -> bool:
+    """Whether this tokenizer's tokens carry blanks."""
+    with open(path, encoding="utf-8") as f:
+        return not json.load(f)["model"].get("end_of_word_suffix")
+
+
+def content_digest(text: Column, exact: bool = False) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    return F.unhex(F.sha2(text if exact else F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), 256))
 
 
 def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
@@ -71,7 +78,7 @@ def count_misses(docs: DataFrame, path: str, cache_path: str, text: str = "text"
             _, ends = encoder(path).encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([version] * batch.num_rows, pa.string()), pa.array(np.diff(ends, prepend=0).astype(np.int64))], names=["digest", "tokenizer", "n_tokens"])
 
-    texts = docs.select(content_digest(docs[text]).alias("digest"), docs[text].alias("text"))
+    texts = docs.select(content_digest(docs[text], keeps_blanks(path)).alias("digest"), docs[text].alias("text"))
     texts = texts.mapInArrow(_once, texts.schema).repartition("digest")
     texts = texts.join(read_cache(spark, cache_path, version).select("digest"), "digest", "left_anti")
     texts.mapInArrow(count, CACHE).write.mode("append").option("compression", "zstd").parquet(cache_path)
@@ -83,7 +90,7 @@ def with_token_counts(docs: DataFrame, path: str, cache_path: str, text: str = "
     key, got = free_name(docs, "digest"), free_name(docs, to if to not in docs.columns else "counted")
     # Written, so that the join may split the rows of a text that many documents share among tasks.
     stored = written(read_cache(docs.sparkSession, cache_path, tokenizer_version(path)), "counts").select(F.col("digest").alias(key), F.col("n_tokens").alias(got))
-    return docs.withColumn(key, content_digest(docs[text])).drop(text).join(stored, key, "left").drop(key).withColumnRenamed(got, to)
+    return docs.withColumn(key, content_digest(docs[text], keeps_blanks(path))).drop(text).join(stored, key, "left").drop(key).withColumnRenamed(got, to)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,6 +250,14 @@ def test_cache_encodes_misses_once(spark, tmp_path):
     assert token_counts.tokenizer_version(path) != token_counts.tokenizer_version(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def test_counts_of_a_tokenizer_that_keeps_blanks(spark, tmp_path):
+    path, texts = public_tokenizers.path("byte_bpe_50k.json"), ["a b", "a\n\n b", "a  b"]
+    library = ChunkEncoder(path).library
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.with_token_counts(docs, path, str(tmp_path / "cache")).collect()}
+    assert got == {i: len(library.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
 def test_bundles_depend_on_letters_alone():
     b = language_id.Bundler(64)
     one, two, none, long = b.bundles(["Héllo, wörld", "héllo -- WÖRLD!", "42 !?", "日本語" * 50])
