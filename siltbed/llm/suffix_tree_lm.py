@@ -1,30 +1,32 @@
-"""Language-model scores by a probabilistic suffix tree of words above one of bytes.
-
-A text is its tokens: words in lower case (A-Z), then one end.
-
-Words. Contexts are the last 1 to WORDS tokens of the same text. Every context that training holds at least TWICE times is
-a state, whatever the size of the corpus, and so are all its suffixes, which occur no less often. A state's distribution
-is its counts, smoothed with its suffix's, which weighs WEIGHTS counts: (n(context, w) + m p(w | suffix)) / (n(context) +
-m). The root is the share of each word in training less a discount d, got from how many words occur once and twice (Ney);
-what all discounts leave, U = d V / N, is for the spelling.
-
-Bytes. A word is its bytes closed by a space, a text's end a symbol of its own. The 63 most frequent bytes are symbols;
-the rest share one, with a distribution inside it. Contexts of up to DEPTH symbols reach back over the word's start. A
-context that occurs LEAST times is tested: twice the count times the Kullback-Leibler divergence of its next symbols from
-its suffix's must exceed what chance gives, and the divergence a floor. Contexts that pass, and all their suffixes, are
-states (Witten-Bell smoothing). The alphabet bounds this tree, not a share of the corpus; it is the one thing that all
-tasks get.
-
-Counts of word sequences are nowhere gathered whole. Blocks of texts send the numbers (56 bits) of their distinct
-sequences of 1 to WORDS + 1 tokens, with their counts in learning texts, to buckets of numbers; a bucket adds them up and
-sends each block its sums, in the block's order; there they meet the block's texts again. This is done length by length.
-A sequence moves once per block however often it occurs, and neither a bucket nor a block grows with the corpus. Two sequences share a number with
-probability 1.4e-17.
-
-`score` is the log10 probability of the text: at the root a token costs (c - d) / N + U p, with p its spelling by the tree
-of bytes, so an unseen token costs the mass of its whole class times its own spelling, and over all texts this sums to one
-at most. `spelt_score` beside it uses no contexts of words and weighs the spelling by the number of distinct tokens
-(Witten-Bell): (c + V p) / (N + V).
+"""Language-model scores by a probabilistic suffix tree of words, with one of bytes for the spelling of new words.
+
+A text is its tokens: words in lower case (A-Z), then one end, which counts as the empty word.
+
+Words. Contexts are the last 1 to WORDS tokens of the same text that training holds TWICE at least, whatever the size of
+the corpus. A context is tested against the longest state that is a suffix of it: over all its places in training, the
+logarithm of its next token's probability, smoothed and with that place itself left out, less the logarithm of the
+suffix's; contexts whose sum exceeds GAIN nats are states. So short contexts that tell nothing are dropped while longer
+ones of theirs that diverge stay. A token is scored by the longest state before it; a state's distribution is its counts,
+smoothed with its suffix state's, which weighs WEIGHTS counts: (n(context, w) + m p(w | suffix)) / (n(context) + m). At
+the root a token costs (c - d) / N + U p: its share in training less a discount d, got from how many words occur once and
+twice (Ney), and the mass that all discounts leave, U = d V / N, times its spelling p.
+
+Bytes. A word's spelling is its bytes and an end. The tree learns from the words that training holds SELDOM times at most,
+which are most like those it lacks. The 63 most frequent bytes are symbols; the rest share one, with a distribution inside it. A context
+of up to DEPTH symbols of the word that occurs LEAST times is tested: twice the count times the Kullback-Leibler
+divergence of its next symbols from its suffix's must exceed what chance gives, and the divergence a floor. Contexts that
+pass, and all their suffixes, are states (Witten-Bell smoothing). The alphabet bounds this tree; it is the one thing that
+all tasks get.
+
+Neither counts nor states of words are ever gathered whole. Texts are cut into blocks, stored as numbers of words. In each
+round a block sends the keys (56 bits) of its distinct sequences of the next length, with their counts in its learning
+texts, and those of its contexts, with its share of their sums, to buckets of keys; a bucket adds up and sends each block
+its totals, in the block's order, which the next round joins to the block. Sequences whose context is no candidate are
+never sent. A sequence moves once per block however often it occurs; neither a bucket nor a block grows with the corpus,
+their numbers do. Two sequences share a key with probability 1.4e-17. Sums are integers, so no order of tasks changes a score.
+
+`score` is the log10 probability of the text; over all texts it sums to one at most. `root_score` beside it is the same
+without the tree of words.
 
 Defined results: null and empty texts hold the end alone; rows with a null doc_id are scored but teach nothing; repeated
 rows teach as often as they occur; without learning texts N and V are 0 and all symbols are equally likely; an empty
@@ -37,78 +39,45 @@ import gc
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import documents, held_out, written
+from siltbed.llm.common import documents, held_out, scratch_path, written
 from siltbed.llm.tokenizing import slices
-from siltbed.llm.wordhash import END, SPACE, mixed, normal, word_hashes
+from siltbed.llm.wordhash import END, mixed, word_hashes
 
 DEPTH, BITS = 4, 6
 SYMBOLS = 1 << BITS
 RARE = SYMBOLS - 1
-#: Occurrences of a context of bytes that is tested, and of a context of words that is a state.
+#: Occurrences of a context of bytes, and of one of words, that is tested.
 LEAST, TWICE = 16, 2
-#: Standard deviations above chance, and least divergence in nats, for a context to be kept.
+#: Occurrences at most of words that the spelling is learned from.
+SELDOM = 10
+#: Standard deviations above chance, and least divergence in nats, for a context of bytes to be kept.
 SIGMAS, FLOOR = 4.0, 0.005
-#: Words in a context at most, and by its length the weight of its suffix.
+#: Words in a context at most, by its length the weight of its suffix, and the nats that a state must gain.
 WORDS = 3
-WEIGHTS = (300.0, 5.0, 0.5)
-#: Bits of a sequence's number; bytes of text in a block; sequences in a bucket, about, and least bits of its number.
+WEIGHTS = (1000.0, 20.0, 0.5)
+GAIN = 1.0
+#: Parts of a nat in which gains are summed.
+PARTS = 64
+#: Bits of a sequence's key; bytes of text in a block; sequences in a bucket, about, and least and most bits of its number.
 KEY_BITS = 56
 BLOCK = 8_000_000
-BUCKET, LEAST_BITS = 2_000_000, 6
-#: The number of the end token among words.
-END_KEY = 0
-COUNTS = "kind int, key bigint, n bigint"
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """kind 0: words by number; kind 1: bytes, as the tree sees them. texts: one column, text."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        held: list[np.ndarray] = []
-        size, docs, seen = 0, 0, np.zeros(256, np.int64)
-
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate(held), return_counts=True)
-            both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            return both, np.bincount(at, np.concatenate([sums, n]), len(both)).astype(np.int64)
-
-        for batch in batches:
-            for n, data, ends in normal(batch.column("text")):
-                docs += n
-                seen += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-                held.append(word_hashes(data, ends)[0])
-                size += len(held[-1])
-                if size > 4_000_000:
-                    keys, sums = fold()
-                    held, size = [], 0
-        if held:
-            keys, sums = fold()
-        if docs:
-            seen[END] = docs
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(256, np.int32)), pa.array(np.arange(256)), pa.array(seen)], names=["kind", "key", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([END_KEY]), pa.array([docs])], names=["kind", "key", "n"])
-        for lo in range(0, len(keys), 1 << 17):
-            k = keys[lo : lo + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), np.int32)), pa.array(k.view(np.int64)), pa.array(sums[lo : lo + len(k)])], names=["kind", "key", "n"])
-
-    return texts.mapInArrow(count, COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+BUCKET, LEAST_BITS, BUCKET_BITS = 2_000_000, 7, 24
 
 
 def symbols_of(data: bytes, ends: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, places, raw, stops): runs of DEPTH + 1 symbols at every place that is scored, the bytes there, and where each text's end."""
+    """(codes, symbols, bytes, where each word ends): at every byte and at the end of each word, the run of DEPTH + 1 symbols up to there."""
     n = len(ends)
     lengths = np.diff(ends, prepend=0)
     raw = np.full(len(data) + n * (DEPTH + 1), END, np.uint8)
-    first = ends - lengths + np.arange(n) * (DEPTH + 1)  # of a text's padding
+    first = ends - lengths + np.arange(n) * (DEPTH + 1)  # of a word's padding
     at = np.repeat(first + DEPTH - (ends - lengths), lengths) + np.arange(len(data))
     raw[at] = np.frombuffer(data, np.uint8)
     s = place[raw].astype(np.uint32)
@@ -120,24 +89,6 @@ def symbols_of(data: bytes, ends: np.ndarray, place: np.ndarray) -> tuple[np.nda
     return code[keep], s[keep], raw[keep], np.cumsum(lengths + 1)
 
 
-def count_runs(texts: DataFrame, place: np.ndarray) -> DataFrame:
-    """code, n: how often each run of DEPTH + 1 symbols occurs."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, sums = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        for batch in batches:
-            for _, data, ends in normal(batch.column("text")):
-                new = np.sort(symbols_of(data, ends, place)[0])
-                at = np.flatnonzero(np.append(True, new[1:] != new[:-1]))
-                n = np.diff(np.append(at, len(new)))
-                codes, at = np.unique(np.concatenate([codes, new[at]]), return_inverse=True)
-                sums = np.bincount(at, np.concatenate([sums, n]), len(codes)).astype(np.int64)
-        for lo in range(0, len(codes), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[lo : lo + (1 << 17)].astype(np.int64)), pa.array(sums[lo : lo + (1 << 17)])], names=["code", "n"])
-
-    return texts.mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
 @dataclass
 class Tree:
     """States by order: their codes and rows in `logs` (log10 of next-symbol probabilities); inside: log10 by byte."""
@@ -209,49 +160,21 @@ class Model:
     distinct: int
     discount: float  # taken from each distinct token's count
 
-    @property
-    def unseen(self) -> float:
-        """What all discounts leave."""
-        return self.discount * self.distinct / self.tokens
-
+    def spelling(self, data: bytes, ends: np.ndarray) -> np.ndarray:
+        """The log10 probability of each word's bytes and end."""
+        if self.tree.name not in _TABLES:
+            _TABLES.clear()
+            _TABLES[self.tree.name] = self.tree.table()
+        code, s, raw, stops = symbols_of(data, ends, self.tree.place)
+        states = _TABLES[self.tree.name][code >> np.uint32(BITS)].astype(np.int64)
+        value = self.tree.logs.ravel()[states * SYMBOLS + s].astype(np.float64) + self.tree.inside[raw]
+        return np.add.reduceat(value, np.append(0, stops[:-1]))
 
-def fit(texts: DataFrame) -> Model:
-    """texts: one column, text."""
-    counts = written(count_words(texts), "counts")
-    seen = np.zeros(256, np.int64)
-    for r in counts.where("kind = 1").collect():  # 256 rows
-        seen[r.key] = r.n
-    sums = counts.where("kind = 0").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
-    frequent = np.argsort(-seen, kind="stable")[:RARE]
-    place = np.full(256, RARE, np.uint8)
-    place[frequent] = np.arange(len(frequent))
-    for byte in (SPACE, END):  # always symbols of their own
-        if place[byte] == RARE:
-            place[[byte, int(frequent[-1 - (byte == END)])]] = place[[int(frequent[-1 - (byte == END)]), byte]]
-    tree = fit_tree(written(count_runs(texts, place), "runs"), seen, place)
-    return Model(tree, int(sums.n or 0), int(sums.v or 0), (sums.once + 0.5) / (sums.once + 2 * sums.twice + 1))
-
-
-def tokens_of(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers, places): all tokens of what normal() yields, and the place of each in its text."""
-    words, word_ends = word_hashes(data, ends)
-    stops = word_ends + np.arange(len(ends))
-    out = np.full(len(words) + len(ends), END_KEY, np.uint64)
-    is_word = np.ones(len(out), bool)
-    is_word[stops] = False
-    out[is_word] = words
-    starts = np.append(0, stops[:-1] + 1)
-    return out, np.arange(len(out)) - np.repeat(starts, np.diff(stops, prepend=-1))
-
-
-def sequences(tokens: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers, at) of all sequences of 1 to WORDS + 1 tokens, length by length, and where each of them ends."""
-    key = mixed(tokens + np.uint64(1))
-    for k in range(WORDS + 1):
-        if k:
-            key = mixed(np.append(np.uint64(0), key[:-1]) * np.uint64(0x9E3779B97F4A7C15) + tokens + np.uint64(k + 1))
-        at = np.flatnonzero(places >= k)
-        yield key[at] >> np.uint64(64 - KEY_BITS), at
+    def root(self, c: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+        """The probability of tokens that occur c times in training and are spelt so; spellings below 1e-250 count as that."""
+        if not self.tokens:
+            return 10.0 ** np.maximum(spelt, -250)
+        return np.maximum(c - self.discount, 0) / self.tokens + self.discount * self.distinct / self.tokens * 10.0 ** np.maximum(spelt, -250)
 
 
 def packed(x: np.ndarray, size: int) -> bytes:
@@ -266,122 +189,299 @@ def unpacked(blob: bytes, n: int, size: int) -> np.ndarray:
     return out.view("<u8")[:, 0].astype(np.uint64)
 
 
-PART = "block bigint, bucket int, n bigint, keys binary, counts binary, texts binary"
-SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, spelt_score double"
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Texts by bounded size, with numbers that are the same each time a task reads the same rows."""
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        at = 0
-        for part in slices(batch.column("text"), BLOCK):
-            yield number, batch.slice(at, len(part))
-            number, at = number + 1, at + len(part)
+def unsqueezed(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
 
 
-def parts(block: list[int], bucket: list[int], n: list[int], keys: list | None = None, counts: list | None = None, texts: list | None = None) -> pa.RecordBatch:
-    none = [None] * len(block)
-    arrays = (pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64()), *(pa.array(x or none, pa.binary()) for x in (keys, counts, texts)))
-    return pa.RecordBatch.from_arrays(list(arrays), names=["block", "bucket", "n", "keys", "counts", "texts"])
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(keys, return_inverse=True) of keys of KEY_BITS, by one sort of numbers that hold the top of a key and its place."""
+    n = len(keys)
+    low = np.uint64(max(1, (n - 1).bit_length()))
+    both = np.sort((keys << np.uint64(64 - KEY_BITS)) >> low << low | np.arange(n, dtype=np.uint64))
+    order = (both & np.uint64((1 << int(low)) - 1)).astype(np.int64)
+    ranked = keys[order]
+    if (ranked[1:] < ranked[:-1]).any():  # two keys with the same top
+        return np.unique(keys, return_inverse=True)
+    first = np.append(True, ranked[1:] != ranked[:-1])[:n]
+    back = np.empty(n, np.int64)
+    back[order] = np.cumsum(first) - 1
+    return ranked[first], back
 
 
-def asked(rows: DataFrame, k: int, bits: int) -> DataFrame:
-    """Of each block, its distinct sequences of k + 1 tokens and how often its learning texts hold them, by buckets."""
+#: A block; what it asks buckets; what they tell it.
+BLOCKS = "block bigint, n bigint, words binary, ids binary, docs binary, seen array<bigint>"
+ASKED = "block bigint, bucket int, n bigint, keys binary, sums binary"
+TOLD = "block bigint, bucket int, n bigint, sums binary"
+SUM_BYTES = 6
+COUNT, TEST = 0, WORDS + 1  # kinds of buckets: sequences of 1 to WORDS + 1 tokens, contexts of 1 to WORDS
+
+
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(numbers of all tokens, tokens of each text, distinct words); the end of a text is the first word, the empty one."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    at = cut.offsets.to_numpy().astype(np.int64)
+    at, pieces = at - at[0], cut.flatten()
+    full = pc.greater(pc.binary_length(pieces), 0)
+    before = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False).astype(np.int64)))
+    sizes = before[at[1:]] - before[at[:-1]] + 1
+    found = pieces.filter(full).dictionary_encode()
+    ids, is_word = np.zeros(int(sizes.sum()), np.int64), np.ones(int(sizes.sum()), bool)
+    is_word[np.cumsum(sizes) - 1] = False
+    ids[is_word] = found.indices.to_numpy() + 1
+    return ids, sizes, [b"", *found.dictionary.cast(pa.binary()).to_pylist()]
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """Texts by bounded size, as a table in buckets of blocks, which no round shuffles again. rows: doc_id, held_out, learns, text."""
+    spark = rows.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in blocks(batches):
-            got = [tokens_of(data, ends) for _, data, ends in normal(block.column("text"))]
-            tokens, places = (np.concatenate(x) for x in zip(*got, strict=True))
-            learns = block.column("learns").to_numpy(zero_copy_only=False).astype(bool)[np.cumsum(places == 0) - 1]
-            keys, at = next(islice(sequences(tokens, places), k, None))
-            keys, back = np.unique(keys, return_inverse=True)
-            n = np.bincount(back, learns[at], len(keys)).astype(np.uint64)
-            cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(KEY_BITS - bits))
-            own = np.split(keys, cuts)
-            yield parts([number] * len(own), list(range(k << bits, (k + 1) << bits)), [len(x) for x in own], [packed(x, 7) for x in own], [packed(x, 4) for x in np.split(n, cuts)])
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def block() -> pa.RecordBatch:
+            nonlocal number
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids, sizes, words = numbered(table.column("text").combine_chunks())
+            learns = table.column("learns").to_numpy().astype(bool)
+            n = np.bincount(ids, np.repeat(learns, sizes), len(words))
+            seen = np.bincount(np.frombuffer(b"".join(words), np.uint8), np.repeat(n, [len(x) for x in words]), 256).astype(np.int64)
+            docs, sink = table.drop_columns(["text"]).append_column("size", pa.array(sizes)).combine_chunks().to_batches()[0], pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(docs)
+            row = [number], [len(ids)], [squeezed(b" ".join(words))], [packed(ids, 4)], [sink.getvalue().to_pybytes()], [seen.tolist()]
+            number += 1
             pa.default_memory_pool().release_unused()
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(row, kinds, strict=True)], names=["block", "n", "words", "ids", "docs", "seen"])
 
-    return rows.select("learns", "text").mapInArrow(run, PART)
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column("text"), BLOCK):
+                mine = batch.slice(at, len(part))
+                at += len(part)
+                new = mine.column("text").nbytes
+                if held and size + new > BLOCK:
+                    yield block()
+                    held, size = [], 0
+                held.append(mine)
+                size += new
+        if held:
+            yield block()
+
+    blocks = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "learns", "text").mapInArrow(run, BLOCKS)
+    name = f"siltbed_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.bucketBy(buckets, "block").format("parquet").option("compression", "uncompressed").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
+    return spark.table(name)
+
+
+class Block:
+    """A block's tokens, and the totals that are known of them by now."""
+
+    def __init__(self, table: pa.Table, told: pa.Table | None):
+        """table: the block's row; told: the rows that buckets sent it."""
+        row = {c: table.column(c)[0].as_py() for c in ("block", "n", "words", "ids", "docs")}
+        self.number = row["block"]
+        self.ids = unpacked(row["ids"], row["n"], 4).astype(np.int64)
+        self.words = unsqueezed(row["words"]).split(b" ")
+        with pa.ipc.open_stream(row["docs"]) as source:
+            self.docs = source.read_next_batch()
+        self.sizes = self.docs.column("size").to_numpy()
+        self.places = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.learns = np.repeat(self.docs.column("learns").to_numpy(zero_copy_only=False).astype(bool), self.sizes)
+        self.counts: list[np.ndarray] = []
+        self.tests: list[np.ndarray] = []
+        if told is not None:
+            bucket = told.column("bucket").to_numpy()
+            order, kinds = np.argsort(bucket).tolist(), bucket >> BUCKET_BITS
+            for kind in range(TEST + WORDS):
+                rows = [(told.column("sums")[i].as_py(), told.column("n")[i].as_py()) for i in order if kinds[i] == kind]
+                if rows:
+                    known = np.concatenate([unpacked(x, n, SUM_BYTES) for x, n in rows])
+                    self.counts.append(known.astype(np.float64)) if kind < TEST else self.tests.append(known > 0)
+        hashes = np.zeros(len(self.words), np.uint64)
+        if len(hashes) > 1:
+            joined = b" ".join(self.words)[1:] + b" "
+            hashes[1:] = word_hashes(joined, np.array([len(joined)]))[0]
+        self.hashes = hashes
+
+    def single(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys of distinct tokens, the place of each word among them)."""
+        return distinct(mixed(self.hashes + np.uint64(1)) >> np.uint64(64 - KEY_BITS))
+
+    def seen(self) -> np.ndarray:
+        """How often training holds each word."""
+        return self.counts[0][self.single()[1]]
+
+    def spelling(self, model: Model) -> np.ndarray:
+        """The log10 probability of each token's spelling."""
+        return model.spelling(b"".join(self.words), np.cumsum([len(x) for x in self.words]))[self.ids]
+
+    def walk(self, model: Model | None = None, spelt: np.ndarray | None = None) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]:
+        """(what the block asks next, as kind, keys and its shares of their sums; with a model, tokens' probabilities after the states known by now)."""
+        own, back = self.single()
+        if not self.counts:
+            return [(COUNT, own, np.bincount(back[self.ids], self.learns, len(own)).astype(np.uint64))], np.zeros(0)
+        asks: list[tuple[int, np.ndarray, np.ndarray]] = []
+        tokens, n, back = self.hashes[self.ids], self.counts[0], back[self.ids]
+        p = model.root(n[back], spelt) if model else np.zeros(0)
+        key, at = mixed(tokens + np.uint64(1)), np.arange(len(tokens))
+        for k in range(1, WORDS + 1):
+            go = np.flatnonzero(n[back] >= TWICE)
+            go = go[at[go] + 1 < len(tokens)]
+            go = go[self.places[at[go] + 1] > 0]
+            context, context_keys, context_n = back[go], own, n
+            last, at = key[at[go]], at[go] + 1
+            key = np.zeros(len(tokens), np.uint64)
+            key[at] = mixed(last * np.uint64(0x9E3779B97F4A7C15) + tokens[at] + np.uint64(k + 1))
+            own, back = distinct(key[at] >> np.uint64(64 - KEY_BITS))
+            if k == len(self.counts):
+                asks.append((COUNT + k, own, np.bincount(back, self.learns[at], len(own)).astype(np.uint64)))
+                break
+            n = self.counts[k]
+            if len(n) != len(own):
+                raise ValueError("a block got totals of other sequences than it asked for")
+            if model:
+                used, weight = np.flatnonzero(np.bincount(context, minlength=len(context_n))), WEIGHTS[k - 1]
+                both, every, before = n[back], context_n[context], p[at]
+                if k - 1 < len(self.tests):
+                    state = np.zeros(len(context_n), bool)
+                    state[used] = self.tests[k - 1]
+                    p[at] = np.where(state[context], (both + weight * before) / (every + weight), before)
+                else:
+                    gain = np.log((np.maximum(both, 1) - 1 + weight * before) / ((every - 1 + weight) * before))
+                    share = np.bincount(context, np.rint(gain * PARTS) * self.learns[at], len(context_n))[used].astype(np.int64)
+                    asks.append((TEST + k - 1, context_keys[used], (share << 1 ^ share >> 63).view(np.uint64)))
+        return asks, p
+
+
+def at_blocks(blocks: DataFrame, told: DataFrame | None, run, schema: str) -> DataFrame:
+    """run(block's row, the rows that buckets sent it or None) for each block; only the latter are shuffled."""
+    own = blocks.drop("seen").groupBy("block")
+    if told is None:
+        return own.applyInArrow(lambda table: run(table, None), schema)
+    return own.cogroup(told.where("block >= 0").groupBy("block")).applyInArrow(run, schema)
+
+
+def asked(blocks: DataFrame, told: DataFrame | None, bits: int, shared=None) -> DataFrame:
+    """What blocks ask next, by buckets: totals of sequences and, once the model is known, of contexts' gains."""
+
+    def run(table: pa.Table, told: pa.Table | None) -> pa.Table:
+        block, model, out = Block(table, told), shared and shared.value, []
+        for kind, keys, sums in block.walk(model, block.spelling(model) if model else None)[0]:
+            cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(KEY_BITS - bits))
+            for i, (k, x) in enumerate(zip(np.split(keys, cuts), np.split(sums, cuts), strict=True)):
+                if len(k):
+                    out.append((block.number, kind << BUCKET_BITS | i, len(k), packed(k, 7), packed(x, 5)))
+        pa.default_memory_pool().release_unused()
+        return table_of(out, ASKED_KINDS)
 
+    return at_blocks(blocks, told, run, ASKED)
 
-def answered(parts_: DataFrame) -> DataFrame:
-    """The sums over all blocks, for each block in its order."""
 
-    def run(table: pa.Table) -> pa.Table:
-        block, sizes = table.column("block").to_pylist(), table.column("n").to_pylist()
-        keys = np.concatenate([unpacked(x.as_py(), n, 7) for x, n in zip(table.column("keys"), sizes, strict=True)])
-        n = np.concatenate([unpacked(x.as_py(), n, 4) for x, n in zip(table.column("counts"), sizes, strict=True)])
-        _, back = np.unique(keys, return_inverse=True)
-        n = np.bincount(back, n)[back].astype(np.uint64)
-        cuts = np.cumsum(sizes)[:-1]
-        return pa.Table.from_batches([parts(block, table.column("bucket").to_pylist(), sizes, counts=[packed(x, 4) for x in np.split(n, cuts)])])
+ASKED_KINDS = {"block": pa.int64(), "bucket": pa.int32(), "n": pa.int64(), "keys": pa.binary(), "sums": pa.binary()}
+TOLD_KINDS = {"block": pa.int64(), "bucket": pa.int32(), "n": pa.int64(), "sums": pa.binary()}
 
-    return parts_.groupBy("bucket").applyInArrow(run, PART)
 
+def table_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.table({name: pa.array(x, kind) for (name, kind), x in zip(kinds.items(), columns, strict=True)})
 
-def scored(rows: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out and the scores of every row. rows: doc_id, held_out, learns, text."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, model.tokens / BUCKET)))))
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in blocks(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(block)
-            yield parts([number], [-1], [block.num_rows], texts=[sink.getvalue().to_pybytes()])
+def answered(rows: DataFrame) -> DataFrame:
+    """Totals over all blocks, for each block in its order: counts of sequences, or whether contexts are states. Rows of block -1 hold, for
+    single tokens, N, V and how many occur once and twice, as buckets 0 to 3."""
 
     def run(table: pa.Table) -> pa.Table:
-        m = shared.value
-        tree, total, types = m.tree, m.tokens, m.distinct
-        if tree.name not in _TABLES:
-            _TABLES.clear()
-            _TABLES[tree.name] = tree.table()
-        states, logs = _TABLES[tree.name], tree.logs.ravel()
-        bucket = table.column("bucket").to_numpy()
-        order = np.argsort(bucket)
-        if np.count_nonzero(bucket < 0) != 1:
-            raise ValueError("a block's texts are missing or not whole")
-        with pa.ipc.open_stream(table.column("texts")[int(order[0])].as_py()) as source:
-            block = source.read_next_batch()
-        got, spelt = [], []
-        for _, data, ends in normal(block.column("text")):
-            got.append(tokens_of(data, ends))
-            code, s, raw, _ = symbols_of(data, ends, tree.place)
-            value = logs[states[code >> np.uint32(BITS)].astype(np.int64) * SYMBOLS + s].astype(np.float64) + tree.inside[raw]
-            last = np.flatnonzero((raw == SPACE) | (raw == END))  # of each token
-            spelt.append(np.add.reduceat(value, np.append(0, last[:-1] + 1)))
-        tokens, places = (np.concatenate(x) for x in zip(*got, strict=True))
-        spelt = np.concatenate(spelt)
-        n, at = [], []
-        for k, (keys, ends_at) in enumerate(sequences(tokens, places)):
-            distinct, back = np.unique(keys, return_inverse=True)
-            own = [i for i in order.tolist() if bucket[i] >> bits == k]
-            sums = np.concatenate([unpacked(table.column("counts")[i].as_py(), table.column("n")[i].as_py(), 4) for i in own]).astype(np.float64)
-            if len(sums) != len(distinct):
-                raise ValueError("a block was read in another order than before")
-            n.append(sums[back])
-            at.append(ends_at)
-        c = n[0]
-        if total:
-            p = after_words(np.maximum(c - m.discount, 0) / total + m.unseen * 10.0 ** np.maximum(spelt, -250), n, at)
-            score = np.log10(p) + (np.minimum(spelt, -250) + 250) * (c == 0)  # beyond what a float holds
-            whole = np.where(c > 0, np.log10(np.maximum(c + types * 10.0**spelt, 1e-300) / (total + types)), np.log10(max(1, types) / (total + types)) + spelt)
-        else:  # nothing was learned
-            score = whole = spelt
-        doc = np.cumsum(places == 0) - 1
-        size = block.num_rows
-        sums = [np.bincount(doc, x, size) for x in (np.log10((c + 1) / (total + types + 1)), score, whole)]
-        columns = [block.column("doc_id"), block.column("held_out"), pa.array(np.bincount(doc, minlength=size)), pa.array(np.bincount(doc, c > 0, size).astype(np.int64)), pa.array(np.full(size, total)), *map(pa.array, sums)]
-        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelt_score"])
-
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "learns", "text")
-    both = rows.drop("learns").mapInArrow(texts, PART)
-    for k in range(WORDS + 1):  # one after the other, so that the disk holds what one length moves
-        both = both.unionByName(written(answered(asked(rows, k, bits)), f"sums_{k}"))
-        forget(rows.sparkSession)
-    return both.groupBy("block").applyInArrow(run, SCORED)
+        kind = int(table.column("bucket")[0].as_py()) >> BUCKET_BITS
+        block, bucket, sizes = (table.column(c).to_pylist() for c in ("block", "bucket", "n"))
+        keys = np.concatenate([unpacked(x.as_py(), n, 7) for x, n in zip(table.column("keys"), sizes, strict=True)])
+        sums = np.concatenate([unpacked(x.as_py(), n, 5) for x, n in zip(table.column("sums"), sizes, strict=True)])
+        own, back = distinct(keys)
+        out = []
+        if kind < TEST:
+            total = np.bincount(back, sums, len(own)).astype(np.uint64)
+            if kind == COUNT:
+                out = [(-1, i, int(x), b"") for i, x in enumerate((total.sum(), *map(np.count_nonzero, (total, total == 1, total == 2))))]
+        else:
+            gain = (sums >> np.uint64(1)).astype(np.int64) ^ -(sums & np.uint64(1)).astype(np.int64)
+            total = (np.bincount(back, gain, len(own)) > GAIN * PARTS).astype(np.uint64)
+        parts = np.split(total[back], np.cumsum(sizes)[:-1])
+        return table_of([*out, *((a, b, n, packed(x, SUM_BYTES)) for a, b, n, x in zip(block, bucket, sizes, parts, strict=True))], TOLD_KINDS)
+
+    return rows.groupBy("bucket").applyInArrow(run, TOLD)
+
+
+def new_word_runs(blocks: DataFrame, told: DataFrame, place: np.ndarray) -> DataFrame:
+    """code, n: how often each run of DEPTH + 1 symbols occurs in learning texts' words that training holds SELDOM times at most."""
+
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        block = Block(table, told)
+        n = np.bincount(block.ids[block.learns], minlength=len(block.words)) * (block.seen() <= SELDOM)
+        n[0] = 0  # the end
+        each, kept = np.array([len(x) for x in block.words])[n > 0], n[n > 0]
+        codes = symbols_of(b"".join(x for x, m in zip(block.words, n.tolist(), strict=True) if m), np.cumsum(each), place)[0]
+        codes, back = np.unique(codes, return_inverse=True)
+        return pa.table({"code": codes.astype(np.int64), "n": np.bincount(back, np.repeat(kept, each + 1), len(codes)).astype(np.int64)})
+
+    return at_blocks(blocks, told, run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def fit(blocks: DataFrame, told: DataFrame) -> Model:
+    """The root and the spelling. told: the totals of single tokens."""
+    seen = np.zeros(256, np.int64)
+    for r in blocks.select(F.posexplode("seen").alias("byte", "n")).groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows
+        seen[r.byte] = r.n
+    stats = {r.bucket: int(r.n) for r in told.where("block = -1").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # 4 rows
+    tokens, kinds, once, twice = (stats.get(i, 0) for i in range(4))
+    seen[END] = kinds
+    frequent = np.argsort(-seen, kind="stable")[:RARE]
+    place = np.full(256, RARE, np.uint8)
+    place[frequent] = np.arange(len(frequent))
+    if place[END] == RARE:  # always a symbol of its own
+        place[[END, int(frequent[-1])]] = place[[int(frequent[-1]), END]]
+    tree = fit_tree(written(new_word_runs(blocks, told, place), "runs"), seen, place)
+    return Model(tree, tokens, kinds, (once + 0.5) / (once + 2 * twice + 1))
+
+
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, root_score double"
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out and the scores of every row, learned from those with learns. docs: doc_id, held_out, learns, text."""
+    spark = docs.sparkSession
+    blocks = blocked(docs)
+    total = blocks.agg(F.sum("n").alias("n")).first().n or 0
+    bits = min(BUCKET_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, total / BUCKET))))))
+    told, shared = None, None
+    for step in range(WORDS + 2):  # one after the other, so that the disk holds what one round moves
+        found = written(answered(asked(blocks, told, bits, shared)), f"sums_{step}", "uncompressed")
+        told = found if told is None else told.unionByName(found)
+        forget(spark)
+        if step == 0:
+            shared = spark.sparkContext.broadcast(fit(blocks, told))
+
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        block, m = Block(table, told), shared.value
+        spelt, seen = block.spelling(m), block.seen()[block.ids]
+        asks, p = block.walk(m, spelt)
+        if any(len(keys) for _, keys, _ in asks):
+            raise ValueError("a block lacks totals that it asked for")
+        beyond = (np.minimum(spelt, -250) + 250) * (seen == 0)  # what a float cannot hold
+        each = (np.log10((seen + 1) / (m.tokens + m.distinct + 1)), np.log10(p) + beyond, np.log10(m.root(seen, spelt)) + beyond)
+        doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
+        sums = [np.bincount(doc, x, len(block.sizes)) for x in each]
+        known = np.bincount(doc, seen > 0, len(block.sizes)).astype(np.int64)
+        columns = [block.docs.column("doc_id"), block.docs.column("held_out"), pa.array(block.sizes), pa.array(known), pa.array(np.full(len(known), m.tokens)), *map(pa.array, sums)]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "root_score"])
+
+    return at_blocks(blocks, told, run, SCORED)
 
 
 def forget(spark: SparkSession) -> None:
@@ -390,17 +490,6 @@ def forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def after_words(p: np.ndarray, n: list[np.ndarray], at: list[np.ndarray]) -> np.ndarray:
-    """Probabilities of tokens after their contexts. p: at the root; n: counts of the sequences that end `at` places, by length."""
-    p, before = p.copy(), n[0]
-    for weight, own, places in zip(WEIGHTS, n[1:], at[1:], strict=True):
-        context = before[places - 1]
-        p[places] = np.where(context >= TWICE, (own + weight * p[places]) / (context + weight), p[places])
-        before = np.zeros(len(p))
-        before[places] = own
-    return p
-
-
 def fold(doc_id: Column) -> Column:
     return held_out(doc_id, 7, 2)
 
@@ -408,5 +497,4 @@ def fold(doc_id: Column) -> Column:
 def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every text, learned from six sevenths of the documents."""
     out = fold(F.col("doc_id"))
-    docs = documents(spark, sf_dir).select("doc_id", out.alias("held_out"), (F.col("doc_id").isNotNull() & ~out).alias("learns"), "text")
-    return scored(docs, fit(docs.where("learns").select("text")))
+    return scored(documents(spark, sf_dir).select("doc_id", out.alias("held_out"), (F.col("doc_id").isNotNull() & ~out).alias("learns"), "text"))

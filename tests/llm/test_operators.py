@@ -133,7 +133,7 @@ def test_suffix_tree_lm(spark, sf_dir, rows):
         w = [*tokens(r[1]), None]
         want[r[0], crc_mod(r[0], 7, 2), len(w), sum(x in c for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(math.isfinite(r["score"]) and r["score"] < 0 and r["spelt_score"] < 0 for r in got)
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 and r["root_score"] < 0 for r in got)
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
