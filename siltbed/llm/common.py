@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,23 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+class IdFilter:
+    """One bit for each value of so many bits of an id's hash, whatever the number of ids: what has no id among them is seldom let pass. ids: one column, id."""
+
+    def __init__(self, ids: DataFrame, bits: int):
+        self.size = bits
+        words = ids.select(self.place(F.col("id")).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits"))
+        self.words = np.zeros(1 << (bits - 5), np.uint32)
+        got = words.toArrow()  # at most 2 ** (bits - 5) rows
+        self.words[got.column("w").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+
+    def place(self, doc_id: Column) -> Column:
+        return F.xxhash64(doc_id).bitwiseAND((1 << self.size) - 1)
+
+    def passes(self, places: np.ndarray) -> np.ndarray:
+        return (self.words[places >> 5] >> (places & 31).astype(np.uint32) & 1).astype(bool)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have yet, whatever extra columns it brings."""
     name, taken = stem, {c.lower() for c in df.columns}

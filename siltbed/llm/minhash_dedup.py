@@ -7,16 +7,21 @@ of sets with a Jaccard similarity of 0.75 share at least MATCHES of K values, bu
 Skip: a value that one class alone has joins nothing, and a class with fewer than MATCHES shared values is left out for
 good. Prefix: two classes that agree in MATCHES values agree in one of the rarest K - MATCHES + 1 of each, so only these
 are posted, and common passages, which fill common postings, seldom count. Merge: first every member of a posting is
-held against the posting's centre, the member most of whose shingles other documents share; collisions of the signatures are counted, pairs above the threshold are confirmed
-on full sets, and the links' components are found. A posting whose members are one component by then is done, which
-settles large groups of copies without forming their pairs. In the others, members outside the posting's largest
-component are held against all members, in blocks of bounded size; a pair is counted in the first posting that both
-share, and skipped if its ends are in one component already, if too few of its shingles occur in any other document's set,
-or if the rarest shingles of the two, which similar sets must have in common, are apart. So every pair of classes that could add a link between
-components is counted, and no group is ever in one task.
+held against the posting's centre, the member most of whose shingles other documents share; collisions of the signatures
+are counted, pairs above the threshold are confirmed on full sets, and the links' components are found. A posting whose
+members are one component by then is done, which settles large groups of copies without forming their pairs. Members of
+the others are dealt by their rarest shared shingles, of which similar sets have one in common, so that documents of one
+template, which fill one posting, do not meet each other; members outside a shingle's largest component are held against
+all of its members, in blocks of bounded size. Pairs in one component already are skipped, as are those too few of whose
+shingles occur in any other document's set; of the rest collisions are counted and links confirmed. So every pair of
+classes that could add a link between components is counted, and no group is ever in one task.
+
+Sets are of 64-bit numbers of shingles: two of the s distinct shingles of a corpus share one with probability s * s / 2^65
+at most, which can move a size or an intersection by one.
 
 Defined results: documents without words have an empty set, are linked with nothing, and stay; rows with a null doc_id
-are linked with nothing, their component is null and they stay; rows that repeat a doc_id are one node; copies and ties
+are linked with nothing, their component is null and they stay; rows that repeat a doc_id are one node, which joins the
+links of all its texts; copies and ties
 go to the smallest doc_id; an empty table gives an empty result.
 """
 
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import documents, written
+from siltbed.llm.common import IdFilter, documents, written
 from siltbed.llm.components import components
 
 K, MATCHES = 64, 30
@@ -75,34 +80,21 @@ def posted(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "n", "sig").join(posts, "rep")
 
 
-def wanted_filter(ids: DataFrame) -> np.ndarray:
-    """One bit for each value of FILTER_BITS bits of an id's hash, whatever the number of ids."""
-    place = F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1)
-    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    got = words.toArrow()  # at most 2 ** (FILTER_BITS - 5) rows
-    out[got.column("w").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
-    return out
-
-
 def full_sets(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """rep, shingles: the sets of documents with these ids, and of a few others that the filter lets pass."""
-    bits = wanted_filter(ids)
-    place = F.xxhash64(docs[doc_id].cast("long")).bitwiseAND((1 << FILTER_BITS) - 1)
+    wanted = IdFilter(ids, FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from siltbed.llm.shingles import shingle_sets
 
         for batch in batches:
-            p = batch.column("p").to_numpy()
-            keep = (bits[p >> 5] >> (p & 31).astype(np.uint32) & 1).astype(bool)
-            batch = batch.filter(pa.array(keep))
+            batch = batch.filter(pa.array(wanted.passes(batch.column("p").to_numpy())))
             sets = list(shingle_sets(batch.column("text")))
             cut = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
             flat = np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], names=["rep", "shingles"])
 
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), place.alias("p")).where("doc_id is not null")
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), wanted.place(docs[doc_id].cast("long")).alias("p")).where("doc_id is not null")
     return rows.mapInArrow(run, "rep bigint, shingles array<bigint>").join(ids, F.col("rep") == F.col("id"), "left_semi")
 
 
@@ -149,54 +141,52 @@ def star_pairs(posts: DataFrame) -> DataFrame:
 
 
 def rest_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share a posting, enough values, and could share enough shingles."""
-    own = posts.join(labels, posts["rep"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "rep"))
-    mask = F.aggregate("posts", F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(p["key"], 32).cast("int"))))
+    """Pairs of classes in different components that share a posting, enough values, and could share enough shingles.
+
+    Classes in postings that hold more than one component are dealt by their early shingles. Of two similar sets the
+    smaller one has a common shingle among its first (its size - least intersection with an equal size + 1); only shingles
+    that some class has there and that more than one component has keep their rows."""
+    own = posts.join(labels, posts["rep"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
     members = own.select("rep", "comp", F.explode(F.transform("posts", lambda p: p["key"])).alias("key"))
-    by = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("every"), F.max(F.struct("c", "comp")).alias("most")).where(F.col("every") > F.col("most.c"))
+    mixed = written(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "mixed")
+    open_ = members.join(mixed, "key").select("rep").distinct()
+    early = own.join(open_, "rep").select("rep", "comp", "n", "m", F.posexplode("early").alias("i", "x"))
+    rows = early.select("rep", "comp", "n", "m", "x", (F.col("n") - F.col("m") + F.col("i")).alias("place"))
+    first = F.col("place") <= F.col("n") - F.ceil(2 * SIMILAR * F.col("n") / (100 + SIMILAR))
+    rows = written(rows.withColumn("first", first), "early")
+    by = rows.groupBy("x", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("first").alias("first"))
+    by = by.groupBy("x").agg(F.sum("c").alias("every"), F.max(F.struct("c", "comp")).alias("most"), F.max("first").alias("first")).where("first").where(F.col("every") > F.col("most.c"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    by = written(by.select("key", F.col("most.comp").alias("main"), blocks(F.col("every")).alias("wide"), blocks(F.col("every") - F.col("most.c")).alias("high")), "mixed")
-    rows = members.join(by, "key").withColumn("outside", F.col("comp") != F.col("main")).withColumn("h", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
-    rows = rows.join(posts.select("rep", "n", "m", "early", "sig", mask.alias("mask")), "rep")  # only what is left gets its payload
+    by = written(by.select("x", F.col("most.comp").alias("main"), blocks(F.col("every")).alias("wide"), blocks(F.col("every") - F.col("most.c")).alias("high")), "shingles")
+    rows = rows.join(by, "x").withColumn("outside", F.col("comp") != F.col("main")).withColumn("h", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
     left = rows.where("outside").select("*", (F.col("h") % F.col("high")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), F.lit(True).alias("asks"))
     right = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), (F.col("h") % F.col("wide")).cast("int").alias("j"), F.lit(False).alias("asks"))
-    cols = ["key", "i", "j", "asks", "outside", "rep", "n", "m", "early", "comp", "mask", "sig"]
 
-    def count(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy() for c in ("asks", "outside", "rep", "n", "m", "comp", "mask")}
-        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, K)
-        coordinate = int(table.column("key")[0].as_py()) >> 32
-        bits = (col["mask"][:, None] >> np.arange(K) & 1).astype(bool)
+    def met(table: pa.Table) -> pa.Table:
+        col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "outside", "rep", "comp", "n", "m", "place")}
         q, r = np.flatnonzero(col["asks"]), np.flatnonzero(~col["asks"])
-        # The early shingles of all rows end to end, whose they are, and their places among their set's by rarity.
-        early = table.column("early").combine_chunks()
-        cut = early.offsets.to_numpy().astype(np.int64)
-        cut, rare = cut - cut[0], early.flatten().to_numpy()
-        whose = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-        place = np.arange(len(rare)) - cut[whose] + (col["n"] - col["m"])[whose]
-        found_a, found_b = [], []
+        n, m, rep, place = col["n"][r], col["m"][r], col["rep"][r], col["place"][r]
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in q.tolist():
-            n, m = col["n"][x], col["n"][r]
-            could = _could_share(np.minimum(col["m"][x], col["m"][r]), n + m)
-            ok = (col["comp"][r] != col["comp"][x]) & could & (100 * np.minimum(n, m) >= SIMILAR * np.maximum(n, m)) & (~col["outside"][r] | (col["rep"][r] > col["rep"][x]))
-            mine = np.argsort(rare[cut[x] : cut[x + 1]])
-            if not len(mine):
-                continue
-            at = np.searchsorted(rare[cut[x] : cut[x + 1]], rare, sorter=mine).clip(0, len(mine) - 1)
-            hit = np.flatnonzero(rare[cut[x] : cut[x + 1]][mine[at]] == rare)
-            least = -(-SIMILAR * (col["n"][x] + col["n"][whose[hit]]) // (100 + SIMILAR))  # of an intersection
-            met = (place[cut[x] : cut[x + 1]][mine[at[hit]]] <= col["n"][x] - least) & (place[hit] <= col["n"][whose[hit]] - least)
-            shares = np.zeros(len(cut) - 1, bool)
-            shares[whose[hit[met]]] = True
-            y = r[ok & shares[r]]
-            same = sig[y] == sig[x]
-            first = (same & bits[y] & bits[x]).argmax(1)
-            y = y[(same.sum(1) >= MATCHES) & (first == coordinate)]
-            found_a.append(np.minimum(col["rep"][y], col["rep"][x]))
-            found_b.append(np.maximum(col["rep"][y], col["rep"][x]))
-        return pa.table({"a": np.concatenate([*found_a, np.zeros(0, np.int64)]), "b": np.concatenate([*found_b, np.zeros(0, np.int64)])})
-
-    return left.select(cols).unionByName(right.select(cols)).groupBy("key", "i", "j").applyInArrow(count, "a bigint, b bigint")
+            least = -(-SIMILAR * (col["n"][x] + n) // (100 + SIMILAR))  # of an intersection
+            ok = (col["comp"][r] != col["comp"][x]) & (np.minimum(col["m"][x], m) >= least) & (~col["outside"][r] | (rep > col["rep"][x]))
+            ok &= (100 * np.minimum(col["n"][x], n) >= SIMILAR * np.maximum(col["n"][x], n)) & (col["place"][x] <= col["n"][x] - least) & (place <= n - least)
+            found_a.append(np.minimum(rep[ok], col["rep"][x]))
+            found_b.append(np.maximum(rep[ok], col["rep"][x]))
+        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+    cols = ["x", "i", "j", "asks", "outside", "rep", "comp", "n", "m", "place"]
+    pairs = left.select(cols).unionByName(right.select(cols)).groupBy("x", "i", "j").applyInArrow(met, "a bigint, b bigint").distinct()
+    a, b = (posts.groupBy(F.col("rep").alias(x)).agg(F.first("sig").alias(f"sig_{x}")) for x in "ab")
+    same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
+    return pairs.join(a, "a").join(b, "b").where(same >= MATCHES).select("a", "b")
+
+
+def repeated_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of ids that occur with more than one set. rows: doc_id, digest."""
+    twice = rows.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
+    reps = rows.join(twice, "doc_id").join(classes.select("digest", "rep"), "digest").groupBy("doc_id").agg(F.collect_set("rep").alias("reps"))
+    return reps.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a < b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,13 +199,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sets = written(full_sets(docs, posts.select(F.col("rep").alias("id")), doc_id, text), "sets")
     # Classes without early shared shingles have no partner.
     posts = written(posts.join(shared_shingles(sets).where(F.size("early") > 0), "rep"), "posts")
-    first = components(confirmed(star_pairs(posts), sets))
+    first = components(confirmed(star_pairs(posts), sets).unionByName(repeated_ids(one, classes)))
     more = written(confirmed(rest_pairs(posts, first), sets), "more")
     # Links between components join whole components: the graph of the second round has components as nodes.
     label = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     lifted = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     second = components(lifted).select(F.col("node").alias("low"), F.col("component").alias("lowest"))
-    nodes = posts.select("rep").distinct().join(first, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("low"))
+    nodes = posts.select("rep").union(first.select("node")).distinct().join(first, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("low"))
     nodes = written(nodes.join(second, "low", "left").select(F.col("rep").alias("r"), F.coalesce("lowest", "low").alias("lowest")).distinct(), "nodes")
     out = rows.join(classes.select("digest", "rep"), "digest", "left").join(nodes, F.col("rep") == F.col("r"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "rep", "doc_id"))
