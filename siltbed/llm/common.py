@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,10 +33,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/siltbed-{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, columns pruned on each read, no lineage left to rerun."""
+class _Scopes(threading.local):
+    def __init__(self):
+        self.paths: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that written() wrote within it, but for outer ones. What is still used must have been written as such."""
+    _SCOPES.paths.append([])
+    try:
+        yield
+    finally:
+        for name in _SCOPES.paths.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd", outer: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, columns pruned on each read, no lineage left to rerun. It lasts as long as the scratch() around it, or the next outer one."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    scopes = _SCOPES.paths[: -1 if outer else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

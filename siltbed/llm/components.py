@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import written
+from siltbed.llm.common import scratch, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,6 +15,11 @@ def components(links: DataFrame) -> DataFrame:
     label, so that labels travel twice as far each round. Labels only fall; when their sum stands still, they are final.
     Null ends are no links; links may repeat or go from a node to itself.
     """
+    with scratch(links.sparkSession):
+        return written(_components(links), "components", outer=True)
+
+
+def _components(links: DataFrame) -> DataFrame:
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
     both = written(links.union(links.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")

@@ -35,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import IdFilter, documents, written
+from siltbed.llm.common import IdFilter, documents, scratch, written
 from siltbed.llm.components import components
 
 K, MATCHES = 64, 30
 #: Links need 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
 BLOCK = 256
+#: Rows of postings, about, and pairs of rows that are handled at once.
+CELLS, PAIRS = 10_000, 1_000_000
 #: Bits of the filter of wanted ids that every task gets.
 FILTER_BITS = 24
 
@@ -157,26 +159,40 @@ def rest_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
     by = rows.groupBy("x", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("first").alias("first"))
     by = by.groupBy("x").agg(F.sum("c").alias("every"), F.max(F.struct("c", "comp")).alias("most"), F.max("first").alias("first")).where("first").where(F.col("every") > F.col("most.c"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    by = written(by.select("x", F.col("most.comp").alias("main"), blocks(F.col("every")).alias("wide"), blocks(F.col("every") - F.col("most.c")).alias("high")), "shingles")
-    rows = rows.join(by, "x").withColumn("outside", F.col("comp") != F.col("main")).withColumn("h", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
+    by = written(by.select("x", "every", F.col("most.comp").alias("main"), blocks(F.col("every")).alias("wide"), blocks(F.col("every") - F.col("most.c")).alias("high")), "shingles")
+    rows = rows.join(by.drop("every"), "x").withColumn("outside", F.col("comp") != F.col("main")).withColumn("h", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
     left = rows.where("outside").select("*", (F.col("h") % F.col("high")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), F.lit(True).alias("asks"))
     right = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), (F.col("h") % F.col("wide")).cast("int").alias("j"), F.lit(False).alias("asks"))
 
     def met(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "outside", "rep", "comp", "n", "m", "place")}
+        col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in cols}
+        order = np.lexsort((col["j"], col["i"], col["x"]))
+        col = {c: v[order] for c, v in col.items()}
+        cell = np.cumsum(np.append(0, (col["x"][1:] != col["x"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])))
         q, r = np.flatnonzero(col["asks"]), np.flatnonzero(~col["asks"])
-        n, m, rep, place = col["n"][r], col["m"][r], col["rep"][r], col["place"][r]
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x in q.tolist():
-            least = -(-SIMILAR * (col["n"][x] + n) // (100 + SIMILAR))  # of an intersection
-            ok = (col["comp"][r] != col["comp"][x]) & (np.minimum(col["m"][x], m) >= least) & (~col["outside"][r] | (rep > col["rep"][x]))
-            ok &= (100 * np.minimum(col["n"][x], n) >= SIMILAR * np.maximum(col["n"][x], n)) & (col["place"][x] <= col["n"][x] - least) & (place <= n - least)
-            found_a.append(np.minimum(rep[ok], col["rep"][x]))
-            found_b.append(np.maximum(rep[ok], col["rep"][x]))
-        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+        start, end = np.searchsorted(cell[r], cell[q], "left"), np.searchsorted(cell[r], cell[q], "right")
+        sums = np.cumsum(end - start)
+        found, lo = [np.zeros((2, 0), np.int64)], 0
+        while lo < len(q):  # some pairs of rows at a time
+            hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + PAIRS, "right")))
+            n = (end - start)[lo:hi]
+            x, y = np.repeat(q[lo:hi], n), r[np.repeat(end[lo:hi] - np.cumsum(n), n) + np.arange(n.sum())]
+            own, other = {c: v[x] for c, v in col.items()}, {c: v[y] for c, v in col.items()}
+            least = -(-SIMILAR * (own["n"] + other["n"]) // (100 + SIMILAR))  # of an intersection
+            ok = (own["comp"] != other["comp"]) & (np.minimum(own["m"], other["m"]) >= least) & (~other["outside"] | (other["rep"] > own["rep"]))
+            ok &= (100 * np.minimum(own["n"], other["n"]) >= SIMILAR * np.maximum(own["n"], other["n"])) & (own["place"] <= own["n"] - least) & (other["place"] <= other["n"] - least)
+            both = np.stack([own["rep"][ok], other["rep"][ok]])
+            found.append(np.unique(np.sort(both, 0), axis=1))
+            lo = hi
+        got = np.concatenate(found, 1)
+        return pa.table({"a": got[0], "b": got[1]})
 
     cols = ["x", "i", "j", "asks", "outside", "rep", "comp", "n", "m", "place"]
-    pairs = left.select(cols).unionByName(right.select(cols)).groupBy("x", "i", "j").applyInArrow(met, "a bigint, b bigint").distinct()
+    rows = left.select(cols).unionByName(right.select(cols))
+    # Many small postings are handled at once: the rows of about CELLS of them, or of a block of a large one.
+    size = by.agg(F.sum(F.col("every") * (F.col("wide") + F.col("high"))).alias("n")).first().n or 0
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("x", "i", "j"), F.lit(max(64, size // CELLS))))
+    pairs = rows.groupBy("group").applyInArrow(met, "a bigint, b bigint").distinct()
     a, b = (posts.groupBy(F.col("rep").alias(x)).agg(F.first("sig").alias(f"sig_{x}")) for x in "ab")
     same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
     return pairs.join(a, "a").join(b, "b").where(same >= MATCHES).select("a", "b")
@@ -189,12 +205,8 @@ def repeated_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return reps.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a < b")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    rows = written(signed(docs, doc_id, text), "signed")
-    one = rows.where("digest is not null and doc_id is not null")
-    classes = one.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct(F.col("n_shingles").alias("n"), "sig"), "doc_id").alias("x")).select("digest", "rep", "x.n", "x.sig")
-    classes = written(classes, "classes")
+def classes_components(docs: DataFrame, one: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """r, lowest: the smallest id reachable from each class that has links. one: doc_id and digest of documents with words."""
     posts = written(posted(classes), "posts")
     sets = written(full_sets(docs, posts.select(F.col("rep").alias("id")), doc_id, text), "sets")
     # Classes without early shared shingles have no partner.
@@ -206,7 +218,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     lifted = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     second = components(lifted).select(F.col("node").alias("low"), F.col("component").alias("lowest"))
     nodes = posts.select("rep").union(first.select("node")).distinct().join(first, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("low"))
-    nodes = written(nodes.join(second, "low", "left").select(F.col("rep").alias("r"), F.coalesce("lowest", "low").alias("lowest")).distinct(), "nodes")
+    return written(nodes.join(second, "low", "left").select(F.col("rep").alias("r"), F.coalesce("lowest", "low").alias("lowest")).distinct(), "nodes", outer=True)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    rows = written(signed(docs, doc_id, text), "signed")
+    one = rows.where("digest is not null and doc_id is not null")
+    classes = one.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct(F.col("n_shingles").alias("n"), "sig"), "doc_id").alias("x")).select("digest", "rep", "x.n", "x.sig")
+    classes = written(classes, "classes")
+    with scratch(docs.sparkSession):
+        nodes = classes_components(docs, one, classes, doc_id, text)
     out = rows.join(classes.select("digest", "rep"), "digest", "left").join(nodes, F.col("rep") == F.col("r"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
