@@ -8,11 +8,12 @@ own), at level DELTA shared out evenly over all pairs of stratum and ratio (Bonf
 stratum loses more than ALPHA of its good documents to all cutoffs together. Of the allowed cutoffs the loosest with the
 best balance of bad against good documents is taken; where labels are too few to prove anything, nothing is rejected.
 
-One pass over the texts; what is shuffled is a few numbers per labelled document, summed before it moves.
+A trial is a distinct text under a distinct id: rows that repeat an id or a text count once, whatever their number, as
+they prove no more than one does. One pass over the texts; what is shuffled is a few numbers per labelled document.
 
 Defined results: a null text has no words and fails the base rules; a null language is a stratum of its own; rows with a
-null doc_id are judged but calibrate nothing; repeated rows are judged each; a document labelled both good and bad counts
-as bad; an empty table or no labels leave the base rules alone.
+null doc_id are judged but calibrate nothing; repeated rows are judged each; a document labelled both good and bad, or a text that occurs under
+labels of both kinds, counts as bad; of an id with several texts one calibrates; an empty table or no labels leave the base rules alone.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def _ratio(a: str, b: str) -> Column:
 
 
 def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the counts of its text as columns, base_failed, and the ratios that cutoffs hold for as r_*.
+    """df with the text's digest and counts as columns, base_failed, and the ratios that cutoffs hold for as r_*.
 
     Windows are compared as whole strings; only texts that hold a window twice are sorted to mark all its places.
     Write the result before filtering by these columns: a filter pushed below them would split a text anew per window.
@@ -51,6 +52,7 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("_words", F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     out = out.withColumns({
+        "digest": F.md5(t.cast("binary")),
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
@@ -92,9 +94,13 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def fit_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """One row per stratum and ratio with an allowed cutoff: stratum, rule, cutoff. stats: doc_id, stratum, base_failed, r_*."""
+    """One row per stratum and ratio with an allowed cutoff: stratum, rule, cutoff. stats: doc_id, digest, stratum, base_failed, r_*."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     seen = stats.join(labels, "doc_id").where(~F.col("base_failed"))
+    # Each text once, then each id once.
+    ratios = [f"r_{rule}" for rule in GRID]
+    seen = seen.groupBy("digest", stratum).agg(F.min("quality").alias("quality"), F.min("doc_id").alias("doc_id"), *(F.max(r).alias(r) for r in ratios))
+    seen = seen.groupBy("doc_id", stratum).agg(F.min("quality").alias("quality"), F.min_by(F.struct(*ratios), "digest").alias("_x")).select(stratum, "quality", "_x.*")
     good, bad = F.col("quality") == 1, F.col("quality") != 1
     tests = [(rule, i, cut) for rule, cuts in GRID.items() for i, cut in enumerate(cuts)]
     sums = {f"{kind}_{rule}_{i}": F.count_if(which & (F.col(f"r_{rule}") > cut)) for rule, i, cut in tests for kind, which in (("good", good), ("bad", bad))}
@@ -123,7 +129,7 @@ def with_verdict(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") ->
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of every document."""
     ratios = [f"r_{rule}" for rule in GRID]
-    stats = written(with_stats(documents(spark, sf_dir).select("doc_id", "lang", "text")).select("doc_id", "lang", *STATS, "base_failed", *ratios), "stats")
+    stats = written(with_stats(documents(spark, sf_dir).select("doc_id", "lang", "text")).select("doc_id", "lang", "digest", *STATS, "base_failed", *ratios), "stats")
     cutoffs = fit_cutoffs(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return with_verdict(stats, cutoffs).select("doc_id", *STATS, "base_failed", "kept")
 
@@ -144,10 +150,12 @@ s AS (SELECT l.doc_id, lang, n_words::bigint AS n_words, word_chars::bigint AS w
 r AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
   CASE WHEN word_chars > 0 THEN n_symbols::double / word_chars ELSE 0 END AS r_symbols, CASE WHEN word_chars > 0 THEN capitals::double / word_chars ELSE 0 END AS r_capitals,
   CASE WHEN n_words > 0 THEN n_repeat_words::double / n_words ELSE 0 END AS r_repeats, CASE WHEN n_lines > 0 THEN n_dup_lines::double / n_lines ELSE 0 END AS r_lines FROM s),
+dig AS (SELECT doc_id, md5(t) AS digest FROM w),
 lab AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 grid AS (SELECT * FROM (VALUES {tests}) AS g(rule, i, cutoff)),
-cnt AS (SELECT lang, rule, i, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND {pick} > cutoff) AS good, count(*) FILTER (quality <> 1 AND {pick} > cutoff) AS bad
-  FROM r JOIN lab USING (doc_id), grid WHERE NOT base_failed GROUP BY ALL),
+one AS (SELECT lang, digest, min(quality) AS quality, min(doc_id) AS doc_id, any_value(r_symbols) AS r_symbols, any_value(r_capitals) AS r_capitals, any_value(r_repeats) AS r_repeats, any_value(r_lines) AS r_lines
+  FROM r JOIN lab USING (doc_id) JOIN dig USING (doc_id) WHERE NOT base_failed GROUP BY lang, digest),
+cnt AS (SELECT lang, rule, i, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND {pick} > cutoff) AS good, count(*) FILTER (quality <> 1 AND {pick} > cutoff) AS bad FROM one, grid GROUP BY ALL),
 tst AS (SELECT *, n > 0 AND CASE WHEN good > n * {p!r} THEN 1.0 ELSE list_sum(list_transform(range(0, good + 1), lambda k: exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) + k * ln({p!r}) + (n - k) * ln({1 - p!r})))) END
   <= {DELTA} / (SELECT {len(GRID)} * count(DISTINCT coalesce(lang, chr(1))) FROM cnt) AS passed FROM cnt),
 alw AS (SELECT *, min(passed::int) OVER (PARTITION BY lang, rule ORDER BY i) = 1 AS allowed, bad - {PRICE} * good AS gain FROM tst),
