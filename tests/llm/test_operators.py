@@ -1,6 +1,7 @@
 """Each operator's query against a brute-force version on a small table, and on an empty one."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -12,6 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from siltbed.llm import suffix_tree_lm as lm
 from siltbed.llm.queries import oracle_sql, queries
 from tests.llm.conftest import crc_mod, write
 
@@ -264,3 +266,60 @@ def test_texts_of_unseen_words_share_their_mass(spark, tmp_path):
     words = ["".join(rng.choice("abcdefgh") for _ in range(3 + k % 5)) + "z" for k in range(150)]
     got = scores(spark, tmp_path, learn, [*sorted(set(words)), "q" * 20, "q" * 5000])
     assert sum(10.0**x for x in got) < 1 and got[-1] < 100 * got[-2] and math.isfinite(got[-1])
+
+
+def test_scores_against_a_plain_tree(spark, sf_dir, rows, monkeypatch):
+    """The states, their distributions and all scores, from dicts of whole sequences; the spelling of words is taken from the operator's tree."""
+    models, fit = [], lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: (models.append(fit(*a)), models[0])[1])
+    got = Counter((r["doc_id"], round(r["score"], 6), round(r["root_score"], 6)) for r in result(spark, "op4_suffix_tree_lm", sf_dir))
+    [model] = models
+    texts = [(r[0], [*(x.decode("utf-8", "surrogateescape") for x in tokens(r[1])), ""], r[0] is not None and not crc_mod(r[0], 7, 2)) for r in rows]
+    n = Counter(tuple(t[i : i + k + 1]) for _, t, learns in texts if learns for k in range(4) for i in range(len(t) - k))
+    total = sum(c for s, c in n.items() if len(s) == 1)
+    once, twice, kinds = (sum(1 for s, c in n.items() if len(s) == 1 and ok(c)) for ok in (lambda c: c == 1, lambda c: c == 2, lambda c: True))
+    d = (once + 0.5) / (once + 2 * twice + 1)
+    assert (model.tokens, model.distinct) == (total, kinds) and math.isclose(model.discount, d)
+    words = sorted({w for _, t, _ in texts for w in t})
+    raw = [w.encode("utf-8", "surrogateescape") for w in words]
+    spelt = dict(zip(words, model.spelling(b"".join(raw), np.cumsum([len(x) for x in raw])).tolist()))
+    root = {w: max(n[(w,)] - d, 0) / total + d * kinds / total * 10.0 ** max(spelt[w], -250) for w in words}
+    states = set()
+
+    def p(before, w):
+        """The probability of w after the longest state that `before` ends with."""
+        out = root[w]
+        for k in range(1, len(before) + 1):
+            c = tuple(before[-k:])
+            if c in states:
+                out = (n[(*c, w)] + lm.WEIGHTS[k - 1] * out) / (n[c] + lm.WEIGHTS[k - 1])
+        return out
+
+    for k in range(1, 4):
+        gain = Counter()
+        for _, t, learns in texts:
+            for i in range(k, len(t) if learns else 0):
+                c = tuple(t[i - k : i])
+                if n[c] >= 2:
+                    suffix, weight = p(c[1:], t[i]), lm.WEIGHTS[k - 1]
+                    gain[c] += round(lm.PARTS * math.log((n[(*c, t[i])] - 1 + weight * suffix) / ((n[c] - 1 + weight) * suffix)))
+        states |= {c for c, g in gain.items() if g > lm.GAIN * lm.PARTS}
+    assert {len(c) for c in states} >= {1, 2}
+    beyond = {w: min(spelt[w], -250) + 250 if not n[(w,)] else 0.0 for w in words}
+    want = Counter()
+    for doc_id, t, _ in texts:
+        each = [math.log10(p(tuple(t[max(0, i - 3) : i]), w)) + beyond[w] for i, w in enumerate(t)]
+        want[doc_id, round(sum(each), 6), round(sum(math.log10(root[w]) + beyond[w] for w in t), 6)] += 1
+    near = lambda c: sorted(((x[0] is not None, x[0] or 0), round(x[1], 3), round(x[2], 3)) for x in c.elements())
+    for a, b in zip(near(got), near(want), strict=True):
+        assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-6, abs_tol=2e-3) and math.isclose(a[2], b[2], rel_tol=1e-6, abs_tol=2e-3)
+
+
+def test_a_distribution_over_texts(spark, tmp_path):
+    """Over an alphabet of two letters, the probabilities of all texts of up to two words of up to three letters sum to less than one, and most of it."""
+    words = ["".join(x) for k in (1, 2, 3) for x in itertools.product("ab", repeat=k)]
+    rng = random.Random(9)
+    learn = [" ".join(rng.choice(words) for _ in range(rng.randrange(3))) for _ in range(400)]
+    ask = ["", *words, *(f"{x} {y}" for x in words for y in words)]
+    total = sum(10.0**x for x in scores(spark, tmp_path, learn, ask))
+    assert 0.7 < total < 1
