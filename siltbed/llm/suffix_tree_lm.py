@@ -23,7 +23,8 @@ round a block sends the keys (56 bits) of its distinct sequences of the next len
 texts, and those of its contexts, with its share of their sums, to buckets of keys; a bucket adds up and sends each block
 its totals, in the block's order, which the next round joins to the block. Sequences whose context is no candidate are
 never sent. A sequence moves once per block however often it occurs; neither a bucket nor a block grows with the corpus,
-their numbers do. Two sequences share a key with probability 1.4e-17. Sums are integers, so no order of tasks changes a score.
+their numbers do: at 10^13 tokens a block's part of a bucket is down to a key or two, and a round costs what a shuffle of
+single rows would. A block is BLOCK bytes of text, or one longer text, which a task holds some twenty times over. Two sequences share a key with probability 1.4e-17. Sums are integers, so no order of tasks changes a score.
 
 `score` is the log10 probability of the text; over all texts it sums to one at most. `root_score` beside it is the same
 without the tree of words.
@@ -47,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import documents, held_out, scratch_path, written
+from siltbed.llm.common import documents, held_out, scratch, scratch_path, written
 from siltbed.llm.tokenizing import slices
 from siltbed.llm.wordhash import END, mixed, word_hashes
 
@@ -446,7 +447,8 @@ def fit(blocks: DataFrame, told: DataFrame) -> Model:
     place[frequent] = np.arange(len(frequent))
     if place[END] == RARE:  # always a symbol of its own
         place[[END, int(frequent[-1])]] = place[[int(frequent[-1]), END]]
-    tree = fit_tree(written(new_word_runs(blocks, told, place), "runs"), seen, place)
+    with scratch(blocks.sparkSession):
+        tree = fit_tree(written(new_word_runs(blocks, told, place), "runs"), seen, place)
     return Model(tree, tokens, kinds, (once + 0.5) / (once + 2 * twice + 1))
 
 
@@ -485,7 +487,8 @@ def scored(docs: DataFrame) -> DataFrame:
 
 
 def forget(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files that no table needs any more."""
+    """Has Spark delete the shuffle files that no table needs any more. Its listeners hold the last query that ended, so another one ends first."""
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
