@@ -4,9 +4,10 @@ The documents of a task, each with an end id, form one stream in the table's ord
 the stream at document ends (free), at sentence ends (a small penalty) or, in sentences longer than `reach`, at fixed
 steps (a larger one). The cost of a window is its padding plus the penalty of its cut; with key(i) = cost(i) + place(i),
 the best predecessor of a cut is the smallest key within the last `window` ids, which a monotone queue yields in
-constant time. Streams are solved run by run; the last window of a run is solved again with the next run, so memory is
-bounded whatever the task reads. What is left at a task's end is padded, or cut at powers of two, which need no padding,
-if that costs less.
+constant time. Streams are solved run by run; a run's last window is solved again with the next run, so memory is
+bounded whatever the task reads. Each run is forced to end somewhere, which pads more the shorter runs are: runs of 4096
+ids pad 16 %, of 20,000 5 %, of RUN 1.3 %. What is left at a task's end is padded, or cut at powers of two, which need no
+padding, if that costs less: at most `window` ids of a task, in pieces that no sentence ends.
 
 Nothing is shuffled: each task packs what it reads, so sequences never wait for other tasks. sequence_id joins the
 task's number and the sequence's number in it.
@@ -81,10 +82,10 @@ def tail_cuts(length: int, window: int = WINDOW) -> list[int]:
     return powers if SHORT * len(powers) < window - length else [length]
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, run: int = RUN) -> DataFrame:
     """The pieces of docs: each with its ids as little-endian unsigned 32-bit integers, its place in its document and in its sequence."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         from siltbed.llm.tokenizing import encoder, slices
@@ -98,10 +99,10 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         names: list[int | None] = []  # of the documents held, the first perhaps without the ids that are packed already
         held: list[np.ndarray] = []
         sizes: list[int] = []
-        packed, size = 0, 0
+        done_before, size = 0, 0
 
         def solved(last: bool) -> pa.RecordBatch | None:
-            nonlocal names, held, sizes, packed, size, made
+            nonlocal names, held, sizes, done_before, size, made
             stream = np.concatenate(held)
             ends = np.cumsum([len(x) for x in held])
             cuts = best_cuts(*candidate_cuts(stream, ends, stops), window)
@@ -117,7 +118,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             lows = np.append(0, edges[:-1])
             doc, seq = np.searchsorted(ends, lows, "right"), np.searchsorted(cuts, lows, "right")
             firsts, starts = np.append(0, ends[:-1]), np.append(0, cuts[:-1])
-            start = lows - firsts[doc] + np.where(doc == 0, packed, 0)
+            start = lows - firsts[doc] + np.where(doc == 0, done_before, 0)
             whole = np.array(sizes)
             ids = pa.Array.from_buffers(pa.binary(), len(lows), [None, pa.py_buffer((np.append(0, edges) * 4).astype(np.int32)), pa.py_buffer(stream[:done].astype("<u4").tobytes())])
             number = (np.int64(task) << 33) + made + seq
@@ -126,10 +127,10 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             k = int(np.searchsorted(ends, done, "right"))
             if k < len(held):
                 cut = done - int(firsts[k])
-                packed = cut + (packed if k == 0 else 0) if cut > 0 else (packed if k == 0 else 0)
+                done_before = cut + (done_before if k == 0 else 0) if cut > 0 else (done_before if k == 0 else 0)
                 held = [held[k][max(cut, 0) :], *held[k + 1 :]]
             else:
-                packed, held = 0, []
+                done_before, held = 0, []
             names, sizes = names[k:], sizes[k:]
             size = sum(map(len, held))
             return out
@@ -147,13 +148,13 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     sizes.append(len(own))
                     size += len(own)
                     lo = hi
-                    if size >= RUN and (out := solved(False)) is not None:
+                    if size >= run and (out := solved(False)) is not None:
                         yield out
                 at += len(texts)
         if held and (out := solved(True)) is not None:
             yield out
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, PIECES)
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(packed, PIECES)
 
 
 def digested(pieces: DataFrame) -> DataFrame:
