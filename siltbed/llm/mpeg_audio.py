@@ -4,12 +4,16 @@ Writer: MPEG-1 Layer III, 48 kHz, mono, CRC-protected. An ID3v2.3 tag names the
 carries the Xing table (frames, bytes, 100 seek points), then each frame holds 576 payload bytes behind an all-zero side
 info, which decoders play as silence.
 
-Parser: ID3v2 and ID3v1 tags, all MPEG versions and layers, Xing/Info and VBRI tables, CRC-16 checks of Layer III, and
+Parser: ID3v2 and ID3v1 tags, all MPEG versions and layers, Xing/Info and VBRI tables, CRC-16 checks of Layers I and III, and
 resynchronisation: a header counts only if another header (or the end, or a tag) follows at the length it announces, so
 chance sync patterns inside the data are passed over. Durations are exact (samples and rate, never a float).
 
-Limits: checksums of Layers I and II are not verified (they count in neither crc_checked nor crc_errors); free-format
-frames are skipped as noise; of a frame's body, payload holds the first 576 bytes, which is all only of the writer's own.
+Media tables hold durations (samples and rate) and frame offsets beside the bytes, so that seeking reads no stream.
+
+Limits: checksums of Layer II, which cover tables by bitrate, are not verified (they count in neither crc_checked nor
+crc_errors); frames of ID3v2.2 tags, unsynchronised tags and extended headers yield no tags, though their length is
+skipped; free-format frames are skipped as noise; of a frame's body, payload holds the first 576 bytes, which is all only
+of the writer's own.
 
 Defined results: null media and media without any frame give 0 frames, 0 samples, an empty payload and no offsets; a
 truncated last frame is not counted; repeated rows each get their own row; other columns pass through untouched,
@@ -182,9 +186,12 @@ def parse_stream(data: bytes | None) -> dict:
         kind = head[:3]
         frame = data[at : at + size]
         side = ((17 if frame[3] >> 6 == 3 else 32) if version == 3 else (9 if frame[3] >> 6 == 3 else 17)) if layer == 3 else 0
-        if protected and layer == 3:
+        if protected and layer != 2:
+            # Of Layer III the side info, of Layer I the bit allocation: four bits a subband, shared by both channels above a joint bound.
+            mode, bound = frame[3] >> 6, (frame[3] >> 4 & 3) * 4 + 4
+            covered = side if layer == 3 else 16 if mode == 3 else 16 + bound // 2 if mode == 1 else 32
             out["crc_checked"] += 1
-            out["crc_errors"] += known_crc16(frame[2:4] + frame[6 : 6 + side]) != int.from_bytes(frame[4:6], "big")
+            out["crc_errors"] += known_crc16(frame[2:4] + frame[6 : 6 + covered]) != int.from_bytes(frame[4:6], "big")
         if first and (table := _table(frame, head)):
             out["table"] = table
         else:
@@ -256,12 +263,22 @@ def with_parsed(df: DataFrame, media: str = "media", to: str = "audio") -> DataF
     return df.mapInArrow(read, schema)
 
 
+STORED = ("frames", "samples", "sample_rate", "frame_offsets")
+
+
+def with_seeking(df: DataFrame, media: str = "media", prefix: str = "") -> DataFrame:
+    """df with frames, samples, sample_rate and frame_offsets of its media as columns; such names get the prefix and replace what df has."""
+    whole = free_name(df, "whole")
+    a = with_parsed(df.withColumn(whole, F.col(media)), media, "audio")
+    return a.withColumnRenamed(whole, media).withColumns({f"{prefix}{c}": F.col(f"audio.{c}") for c in STORED}).drop("audio")
+
+
 def op7_mpeg_audio(spark, sf_dir: str) -> DataFrame:
     """Every text stored as MPEG audio in a table of media, read back from it, and digested."""
     docs = documents(spark, sf_dir).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     path = scratch_path(spark, "media")
-    with_media(docs).drop("text").write.option("compression", "zstd").parquet(path)
-    stored = spark.read.schema("doc_id bigint, n_bytes bigint, media binary").parquet(path)
+    with_seeking(with_media(docs).drop("text")).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema("doc_id bigint, n_bytes bigint, media binary, frames bigint, samples bigint, sample_rate int, frame_offsets array<bigint>").parquet(path)
     stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     a = with_parsed(stored)
     name = free_name(a, "offsets_crc32")
@@ -278,4 +295,8 @@ def op7_mpeg_audio(spark, sf_dir: str) -> DataFrame:
             *(f"audio.{c}" for c in ("mpeg_version", "layer", "frames", "samples", "sample_rate", "table_kind", "table_frames", "table_bytes", "crc_errors", "crc_checked", "skipped_bytes")),
             name,
         ).alias("feature"),
+        "frames",
+        "samples",
+        "sample_rate",
+        (F.col("frame_offsets") == F.col("audio.frame_offsets")).alias("offsets_agree"),
     )
