@@ -6,6 +6,9 @@ letters is one border symbol, so that beginnings and ends of words count. A text
 vectors by the root of their counts. A language's prototype is the sum of the unit bundles of its learning texts, less
 the mean of all prototypes; a text gets the language with the highest cosine.
 
+N-grams are bundled GRAMS at a time, so memory does not grow with the letters of a text or the n-grams of a group of texts,
+but for one row of bytes for each letter that a worker has met.
+
 Bundles are integers and prototypes sum rounded integers, so no order of tasks changes a prediction. What reaches the
 driver is one vector per language.
 
@@ -31,8 +34,8 @@ from siltbed.llm.common import documents, held_out
 DIMENSIONS, SEED = 1024, 7
 #: Unit vectors are summed as integers of this scale.
 SCALE = 1 << 20
-#: Characters of text, and documents, that are handled at once.
-SLICE, GROUP = 4_000_000, 128
+#: Bytes of text, documents, and distinct n-grams that are handled at once.
+SLICE, GROUP, GRAMS = 4_000_000, 128, 4096
 UNKNOWN = "und"
 
 
@@ -42,13 +45,13 @@ class Bundler:
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
         self.dimensions, self.seed = dimensions, seed
         self.place = np.full(0x110000, -1, np.int32)  # of a code point among the letters so far; 0: no letter
-        self.rows = [np.zeros((0, dimensions), np.int8)] * 3
+        self.rows = np.zeros((0, dimensions), np.int8)
         self._add([0])
 
     def _add(self, points: list[int]) -> None:
         new = np.stack([np.random.default_rng([self.seed, p]).integers(0, 2, self.dimensions, np.int8) * 2 - 1 for p in points])
-        self.place[points] = len(self.rows[0]) + np.arange(len(points))
-        self.rows = [np.concatenate([own, np.roll(new, k, 1)]) for k, own in enumerate(self.rows)]
+        self.place[points] = len(self.rows) + np.arange(len(points))
+        self.rows = np.concatenate([self.rows, new])
 
     def _symbols(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -72,8 +75,8 @@ class Bundler:
         ok = (s[1:-1] > 0) & (doc[2:] == doc[:-2])
         a, b, c, doc = s[:-2][ok], s[1:-1][ok], s[2:][ok], doc[1:-1][ok]
         if not len(a):
-            return np.zeros((len(texts), self.dimensions), np.float32)
-        n = len(self.rows[0])
+            return np.zeros((len(texts), self.dimensions))
+        n = len(self.rows)
         code = (a * n + b) * n + c
         if n < 160:
             seen = np.bincount(code, minlength=n**3) > 0
@@ -81,9 +84,16 @@ class Bundler:
             index = (np.cumsum(seen) - 1)[code]
         else:
             grams, index = np.unique(code, return_inverse=True)
-        vectors = self.rows[2][grams // (n * n)] * self.rows[1][grams // n % n] * self.rows[0][grams % n]
-        counts = np.bincount(doc * len(grams) + index, minlength=len(texts) * len(grams)).reshape(len(texts), len(grams))
-        return np.rint(np.sqrt(counts) * 16).astype(np.float32) @ vectors.astype(np.float32)
+        out = np.zeros((len(texts), self.dimensions), np.float64)
+        order = np.argsort(index, kind="stable") if len(grams) > GRAMS else np.arange(len(index))
+        index, doc = index[order], doc[order]
+        for lo in range(0, len(grams), GRAMS):
+            own = grams[lo : lo + GRAMS]
+            vectors = np.roll(self.rows[own // (n * n)], 2, 1) * np.roll(self.rows[own // n % n], 1, 1) * self.rows[own % n]
+            first, last = np.searchsorted(index, [lo, lo + len(own)]) if len(grams) > GRAMS else (0, len(index))
+            counts = np.bincount(doc[first:last] * len(own) + index[first:last] - lo, minlength=len(texts) * len(own)).reshape(len(texts), len(own))
+            out += np.rint(np.sqrt(counts) * 16).astype(np.float32) @ vectors.astype(np.float32)  # whole numbers, exact in both
+        return out
 
 
 _BUNDLERS: dict[tuple, Bundler] = {}
